@@ -61,9 +61,14 @@ def url_key(c: Column) -> Column:
 
 def first_date(*cols: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """First value among ``cols`` that one of the declared formats can read."""
-    return F.coalesce(
-        *[F.try_to_timestamp(strip(c.cast("string")), F.lit(fmt)) for c in cols for fmt in formats]
-    )
+
+    def read(c: Column) -> Column:
+        return F.coalesce(*[F.try_to_timestamp(c, F.lit(fmt)) for fmt in formats])
+
+    candidates = [strip(c.cast("string")) for c in cols]
+    if len(candidates) == 1:
+        return read(candidates[0])
+    return F.get(F.array_compact(F.transform(F.array(*candidates), read)), 0)
 
 
 def date_parts(date: Column) -> dict[str, Column]:
