@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from resonance.functions import scalars as S
@@ -40,6 +41,16 @@ def url_coverage(posts: DataFrame, url: str = "post_url") -> DataFrame:
     return posts.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("records"))
 
 
+def seen_urls(done: DataFrame, url: str = "post_url") -> DataFrame:
+    """The distinct URLs collected so far; only ever the right side of an anti join."""
+    return done.select(url).distinct()
+
+
+def engaged(df: DataFrame, text: str = "post_text", rate: str = "engagement_rate") -> DataFrame:
+    """Posts with a text and some engagement."""
+    return df.where(F.col(text).isNotNull() & (F.col(rate) > 0))
+
+
 def new_texts(incoming: DataFrame, done: DataFrame, url: str = "post_url", text: str = "post_text",
               normalize: bool = False) -> DataFrame:
     """Incoming texts whose URL was not collected before; no URL or no text is left out.
@@ -82,6 +93,11 @@ def ranked(df: DataFrame, by: str, *tiebreak: str, absolute: bool = False) -> Da
     return df.orderBy(value.desc(), *tiebreak)
 
 
+def report_order(by: str, *tiebreak: str) -> WindowSpec:
+    """Numbering order of a finished top-k report (never of a whole table)."""
+    return W.orderBy(F.col(by).desc(), *tiebreak)
+
+
 def extremes(df: DataFrame, by: str, k: int = 20, tiebreak: str = "keyword") -> DataFrame:
     """The k largest and the k smallest rows, marked ``top`` and ``bottom``."""
     top = df.orderBy(F.col(by).desc(), tiebreak).limit(k).withColumn("side", F.lit("top"))

@@ -17,7 +17,7 @@ DATA = "/root/testdata"
 
 def canonical(pdf):
     pdf = pdf[sorted(pdf.columns)]
-    return sorted(tuple(None if v is None or v != v else repr(v) for v in row)
+    return sorted(tuple('null' if v is None or v != v else repr(v) for v in row)
                   for row in pdf.astype(object).itertuples(index=False))
 
 
