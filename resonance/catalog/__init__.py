@@ -6,7 +6,7 @@ import importlib
 
 from resonance.catalog.common import QUERIES, SQL
 
-MODULES = ("scalars", "extraction", "relations", "description")
+MODULES = ("scalars", "extraction", "relations", "description", "texts")
 
 
 def _load() -> None:

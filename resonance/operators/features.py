@@ -2,8 +2,177 @@
 
 from __future__ import annotations
 
-# The feature lists of the four kinds of model.
+from collections.abc import Callable, Iterable, Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from resonance.functions import scalars as S
+from resonance.functions.text import ENGLISH_STOP_WORDS, terms_sql, tokens_sql
+
+# The feature lists of the four kinds of model, text sizes.
 BASELINE = ("weekday", "hour", "month", "impressions")
 TEXT = ("weekday", "hour", "month", "reactions", "comments", "reposts", "saves")
 TUNING = ("weekday", "month", "hour", "impressions", "reactions", "comments", "reposts", "saves")
 SCORING = ("impressions", "reactions", "comments", "reposts", "saves", "likes")
+VOCABULARY_SIZE = 3000
+EMBEDDING_SIZE = 384
+
+# The target is (reactions + comments + reposts) / impressions, so lists that
+# hold those columns give the answer away. These do not.
+LEAK_FREE = {
+    "baseline": ("weekday", "hour", "month"),
+    "text": ("weekday", "hour", "month"),
+    "tuning": ("weekday", "month", "hour"),
+    "scoring": (),
+}
+
+
+def population_stats(df: DataFrame, cols: Sequence[str]) -> Column:
+    """Mean and population deviation of each column as a scalar subquery.
+
+    A constant column has deviation 1, so that scaling leaves it at 0.
+    """
+    parts = []
+    for c in cols:
+        sd = F.stddev_pop(c)
+        parts += [F.avg(c).alias(f"{c}_mean"), F.when(sd > 0, sd).otherwise(1.0).alias(f"{c}_sd")]
+    stats = df.agg(*parts)
+    return stats.select(F.struct(*stats.columns).alias("s")).scalar()
+
+
+def standard_scale(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
+    """Replace each column by its standard score over ``fit_on`` (default: ``df``)."""
+    stats = population_stats(fit_on if fit_on is not None else df, cols)
+    scaled = {c: (F.col(c) - F.col("_s")[f"{c}_mean"]) / F.col("_s")[f"{c}_sd"] for c in cols}
+    return df.withColumn("_s", stats).withColumns(scaled).drop("_s")
+
+
+def one_hot(c: Column, categories: Iterable[str] = S.POST_TYPES) -> Column:
+    """0/1 array over the categories in alphabetical order; unknown or null is all 0."""
+    return F.array(*[F.when(c == k, 1.0).otherwise(0.0) for k in sorted(categories)])
+
+
+def with_terms(df: DataFrame, text: str, out: str = "terms", ngrams: int = 2,
+               stop_words: Iterable[str] = ENGLISH_STOP_WORDS) -> DataFrame:
+    """Add the words and word pairs of a text as an array column."""
+    return (
+        df.withColumn("_tokens", F.expr(tokens_sql(text, stop_words)))
+        .withColumn(out, F.expr(terms_sql("_tokens", ngrams)))
+        .drop("_tokens")
+    )
+
+
+def term_counts(df: DataFrame, doc_id: str, text: str, **options) -> DataFrame:
+    """``doc_id, term, tf``; the counts are complete before the shuffle."""
+    return (
+        with_terms(df.select(doc_id, text), text, **options)
+        .select(doc_id, F.explode("terms").alias("term"))
+        .groupBy(doc_id, "term")
+        .agg(F.count(F.lit(1)).alias("tf"))
+    )
+
+
+def vocabulary(df: DataFrame, text: str, size: int = VOCABULARY_SIZE, **options) -> DataFrame:
+    """The most frequent terms: ``term, tf, df``; ties go by term.
+
+    One shuffle, of partial sums per term; a text marks each of its terms once
+    for the document count.
+    """
+    marks = F.concat(
+        F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
+        F.transform(
+            F.array_distinct("terms"),
+            lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")),
+        ),
+    )
+    return (
+        with_terms(df.select(text), text, **options)
+        .select(F.explode(marks).alias("m"))
+        .groupBy("m.term")
+        .agg(F.sum("m.tf").alias("tf"), F.sum("m.df").alias("df"))
+        .orderBy(F.col("tf").desc(), "term")
+        .limit(size)
+    )
+
+
+def tfidf_long(df: DataFrame, doc_id: str, text: str, fit_on: DataFrame | None = None,
+               size: int = VOCABULARY_SIZE, **options) -> DataFrame:
+    """TF-IDF weights of the vocabulary's terms: ``doc_id, term, weight``.
+
+    Weight is tf * (ln((1 + n) / (1 + df)) + 1), each text scaled to length 1;
+    vocabulary and n come from ``fit_on``. The vocabulary has at most ``size``
+    rows, so it is broadcast and only its terms are shuffled.
+    """
+    source = fit_on if fit_on is not None else df
+    n_docs = source.select(F.count(text).alias("n")).scalar()
+    idf = F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1
+    vocab = vocabulary(source, text, size, **options).withColumn("_n", n_docs).select("term", idf.alias("idf"))
+    raw = (
+        with_terms(df.select(doc_id, text), text, **options)
+        .select(doc_id, F.explode("terms").alias("term"))
+        .join(F.broadcast(vocab), "term")
+        .groupBy(doc_id, "term", "idf")
+        .agg(F.count(F.lit(1)).alias("tf"))
+        .select(doc_id, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    )
+    norms = raw.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
+    return raw.join(norms, doc_id).select(doc_id, "term", (F.col("w") / F.col("_norm")).alias("weight"))
+
+
+def hashed_embedding(df: DataFrame, text: str, out: str = "embedding", dim: int = EMBEDDING_SIZE,
+                     **options) -> DataFrame:
+    """Unit vector of hashed terms: a lexical stand-in, not a semantic embedding."""
+    clean = df.withColumn("_text", F.coalesce(text, F.lit("")))
+    hashed = HashingTF(numFeatures=dim, inputCol="_terms", outputCol="_counts").transform(
+        with_terms(clean, "_text", "_terms", **options)
+    )
+    unit = Normalizer(p=2.0, inputCol="_counts", outputCol=out).transform(hashed)
+    return unit.drop("_text", "_terms", "_counts")
+
+
+def encoded_embedding(df: DataFrame, text: str, load_encoder: Callable[[], Callable[[list[str]], np.ndarray]],
+                      out: str = "embedding", dim: int = EMBEDDING_SIZE) -> DataFrame:
+    """Vectors from a user's encoder, loaded once per Python worker and fed in batches.
+
+    ``load_encoder()`` runs on the executors and returns a function from texts to
+    a matrix. Filter rows before this step: predicates do not cross Python.
+    """
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, _vector array<double>"
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = load_encoder()
+        for batch in batches:
+            vectors = np.asarray(encoder(batch[text].fillna("").tolist()), dtype=float).reshape(len(batch), -1)
+            if len(batch) and vectors.shape[1] != dim:
+                raise ValueError(f"encoder gave {vectors.shape[1]} dimensions, expected {dim}")
+            yield batch.assign(_vector=list(vectors))
+
+    return df.mapInPandas(encode, schema).withColumn(out, array_to_vector("_vector")).drop("_vector")
+
+
+def joined_embedding(df: DataFrame, vectors: DataFrame, key: str, vector: str, out: str = "embedding") -> DataFrame:
+    """Vectors from a table of precomputed ones, by key."""
+    table = vectors.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias(out))
+    return df.join(table, key, "left")
+
+
+def word_embeddings(df: DataFrame, text: str, embed: Callable[[DataFrame, str], DataFrame] = hashed_embedding,
+                    ) -> DataFrame:
+    """One row per word of each text with the word's vector in ``embedding``.
+
+    Each distinct word is embedded once and joined back. A very common word makes
+    one side of that join skewed, which AQE splits.
+    """
+    words = df.select("*", F.posexplode(S.words(F.col(text))).alias("pos", "word"))
+    vectors = embed(words.select("word").distinct(), "word")
+    return words.join(vectors, "word")
+
+
+def vector_norm(c: str) -> Column:
+    """Length of a vector column."""
+    return F.sqrt(F.aggregate(vector_to_array(c), F.lit(0.0), lambda a, x: a + x * x))

@@ -181,6 +181,6 @@ def _cell(cell, shared: list[str], dates: set[int]) -> tuple[str, str] | None:
     if kind == "str":
         return raw, "string"
     if int(cell.get("s") or 0) in dates:
-        stamp = DAY_ZERO + timedelta(days=float(raw))
+        stamp = DAY_ZERO + timedelta(seconds=round(float(raw) * 86_400))
         return stamp.isoformat(sep=" ", timespec="seconds"), "datetime"
     return raw, "number"
