@@ -6,7 +6,7 @@ import importlib
 
 from resonance.catalog.common import QUERIES, SQL
 
-MODULES = ("scalars", "extraction", "relations", "description", "texts")
+MODULES = ("scalars", "extraction", "relations", "description", "texts", "learning", "explanation", "streams")
 
 
 def _load() -> None:

@@ -10,6 +10,7 @@ from pyspark.ml.feature import (
     HashingTF,
     Normalizer,
     SQLTransformer,
+    StandardScaler,
     VectorSlicer,
 )
 from pyspark.ml.functions import array_to_vector
@@ -74,6 +75,27 @@ class PopulationScalerModel(Model, HasInputCols, HasOutputCol, DefaultParamsRead
         return dataset.withColumn(self.getOutputCol(), array_to_vector(F.array(*scores)))
 
 
+class VectorStandardizer(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Standard scores of a whole vector over the population deviation, from native stages."""
+
+    @keyword_only
+    def __init__(self, *, inputCol=None, outputCol=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset):
+        source, out = self.getInputCol(), self.getOutputCol()
+        helper = f"_{out}_sample"
+        scaler = StandardScaler(withMean=True, withStd=True, inputCol=source, outputCol=helper).fit(dataset)
+        # Spark divides by the sample deviation; this factor turns it into the population's.
+        n = dataset.count()
+        factor = (n / (n - 1)) ** 0.5 if n > 1 else 1.0
+        widen = ElementwiseProduct(
+            scalingVec=Vectors.dense([factor] * len(scaler.mean)), inputCol=helper, outputCol=out
+        )
+        return PipelineModel([scaler, widen, drop_stage(helper)])
+
+
 class CategoryFlags(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """One-hot vector over fixed categories in alphabetical order; a value not listed reads as ``fallback``."""
 
