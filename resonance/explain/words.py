@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +35,8 @@ def fit_text_model(df: DataFrame, text: str = "post_text", label: str = LABEL, a
                    size: int = features.VOCABULARY_SIZE) -> PipelineModel:
     """TF-IDF and scaled numbers into a ridge model, on posts with a text."""
     rows = relational.drop_missing(df, text, label)
-    stages = [s.fit(rows) if hasattr(s, "fit") else s for s in text_features(text=text, size=size)]
-    featured = PipelineModel(stages)
-    model = RidgeRegression(labelCol=label, alpha=alpha).fit(featured.transform(rows))
-    return PipelineModel([*stages, model])
+    stages = [*text_features(text=text, size=size), RidgeRegression(labelCol=label, alpha=alpha)]
+    return Pipeline(stages=stages).fit(rows)
 
 
 def text_model_keywords(model: PipelineModel, spark, k: int = 20) -> DataFrame:

@@ -44,20 +44,26 @@ def text_features(names=features.TEXT, text: str = "post_text", size: int = feat
     return [
         TfidfVectorizer(inputCol=text, outputCol="tfidf", size=size),
         PopulationScaler(inputCols=list(names), outputCol="numbers"),
+        size_guard("numbers", len(names)),
         assembler(["tfidf", "numbers"]),
     ]
 
 
 def scoring_features(names, category: str = "post_type", text: str = "post_text",
                      dim: int = features.EMBEDDING_SIZE) -> list:
-    """Scaled numbers, category flags and text embedding, in this order, with a width check."""
-    width = len(names) + len(S.POST_TYPES) + dim
+    """Scaled numbers, category flags and text embedding, in this order.
+
+    Each block states its width: a vector of another width is an error, and the
+    assembler need not run a job to find the widths (so it works on streams).
+    """
     return [
         PopulationScaler(inputCols=list(names), outputCol="numbers"),
+        size_guard("numbers", len(names)),
         CategoryFlags(inputCol=category, outputCol="flags"),
+        size_guard("flags", len(S.POST_TYPES)),
         *embedding_stages(text, "embedding", dim),
+        size_guard("embedding", dim),
         assembler(["numbers", "flags", "embedding"]),
-        size_guard("features", width),
     ]
 
 
