@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from resonance.catalog.common import CELLS, POSTS, r, register, rounded
 from resonance.operators import extract, relational
-from resonance.plans import standins
+from resonance.plans import flows, standins
+from resonance.sources import scratch, workbook
+from resonance.sources.workbook_sink import write_workbooks
 
 HOST = standins.HOST
 KEYS = {3: "impressions", 4: "reactions", 5: "comments", 6: "reposts", 7: "saves"}
@@ -139,3 +141,44 @@ def x8_consolidated_total(spark, sf_dir):
 )
 def s9_url_found_report(spark, sf_dir):
     return relational.url_coverage(extract.consolidate(cells(spark, sf_dir), HOST))
+
+
+def _workbooks(spark, sf_dir):
+    """Every post as a workbook file in the shared scratch folder."""
+    folder = scratch.scratch_path(spark, "workbooks")
+    write_workbooks(cells(spark, sf_dir), folder).write.format("noop").mode("overwrite").save()
+    return folder
+
+
+@register(
+    "s2_workbook_cells",
+    f"""WITH {CELLS} SELECT concat('PostAnalytics_', file, '.xlsx') AS file, CAST("row" AS INTEGER) AS "row",
+      CAST("col" AS INTEGER) AS "col", value FROM cells""",
+)
+def s2_workbook_cells(spark, sf_dir):
+    """Cells of all workbooks of a folder, as they were written."""
+    read = workbook.read_sheet_cells(spark, _workbooks(spark, sf_dir))
+    good, _ = workbook.split_bad_files(read)
+    return good.select(F.regexp_extract("file", "[^/]+$", 0).alias("file"), "row", "col", "value")
+
+
+@register(
+    "s1_workbooks_by_pattern",
+    f"""WITH {POSTS} SELECT concat('PostAnalytics_', CAST(post_id AS VARCHAR), '.xlsx') AS file, 16 AS cells
+    FROM posts WHERE CAST(post_id AS VARCHAR) LIKE '%7'""",
+)
+def s1_workbooks_by_pattern(spark, sf_dir):
+    """Only the files whose name matches the pattern are read."""
+    read = workbook.read_sheet_cells(spark, _workbooks(spark, sf_dir), pattern="PostAnalytics_*7.xlsx")
+    return read.groupBy(F.regexp_extract("file", "[^/]+$", 0).alias("file")).agg(
+        F.count(F.lit(1)).cast("int").alias("cells")
+    )
+
+
+@register("s4_posts_from_workbooks", _POSTS_BACK.replace("CAST(post_id AS VARCHAR) AS file,", ""))
+def s4_posts_from_workbooks(spark, sf_dir):
+    """Workbooks to posts; texts that are no workbooks lie in the same folder and are reported, not read."""
+    folder = _workbooks(spark, sf_dir)
+    standins.texts(spark, sf_dir).select("post_text").write.mode("overwrite").text(f"{folder}/notes")
+    posts, _ = flows.consolidate_workbooks(spark, folder, pattern="*", host=HOST)
+    return _readable(posts).drop("file")

@@ -5,8 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resonance.operators import describe, relational
+from resonance.functions import scalars as S
+from resonance.operators import describe, extract, relational
 from resonance.plans import standins
+from resonance.sources import workbook
+from resonance.sources.scratch import written
+
+
+def consolidate_workbooks(
+    spark: SparkSession,
+    folder: str,
+    pattern: str = workbook.FILE_PATTERN,
+    host: str = S.POST_HOST,
+    **options,
+) -> tuple[DataFrame, DataFrame]:
+    """Folder of workbooks to ``(posts, unreadable files)``.
+
+    The files are unpacked once; their cells are kept as a Parquet table, as
+    extraction looks at them in several ways.
+    """
+    cells = written(workbook.read_sheet_cells(spark, folder, pattern), "cells")
+    good, bad = workbook.split_bad_files(cells)
+    return extract.consolidate(good, host, **options), bad
 
 
 def posts_with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
