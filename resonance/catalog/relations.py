@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from resonance.catalog.common import JOINED, POSTS, TEXTS, r, register, rounded
 from resonance.functions import scalars as S
-from resonance.operators import relational
+from resonance.operators import features, relational
 from resonance.plans import flows, standins
 from resonance.sources import scratch, tables
 
@@ -149,9 +149,7 @@ def r5_engaged_with_text(spark, sf_dir):
     f"""WITH {POSTS} SELECT post_id, weekday, month, hour, impressions, reactions, comments, reposts, saves FROM posts""",
 )
 def r6_feature_projection(spark, sf_dir):
-    from resonance.operators.features import TUNING
-
-    return standins.posts(spark, sf_dir).select("post_id", *TUNING)
+    return standins.posts(spark, sf_dir).select("post_id", *features.TUNING)
 
 
 @register(
@@ -227,9 +225,8 @@ def r9_append(spark, sf_dir):
     SELECT post_id, impressions, weekday, CAST(unnest(range(len(ws))) AS INTEGER) AS pos, unnest(ws) AS word FROM w""",
 )
 def r12_words_with_post_attributes(spark, sf_dir):
-    return flows.posts_with_text(spark, sf_dir).select(
-        "post_id", "impressions", "weekday", F.posexplode(S.words(F.col("post_text"))).alias("pos", "word")
-    )
+    posts = flows.posts_with_text(spark, sf_dir)
+    return features.exploded(posts, ["post_id", "impressions", "weekday"], S.words(F.col("post_text")), "word", "pos")
 
 
 @register(

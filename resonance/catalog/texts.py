@@ -22,7 +22,7 @@ VOCAB = f"""{TF}, vocab AS (SELECT term, CAST(sum(tf) AS BIGINT) AS tf, count(*)
 
 
 def _documents(spark, sf_dir):
-    return standins.table(spark, sf_dir, "documents")
+    return standins.documents(spark, sf_dir)
 
 
 @register("e4_term_counts", f"WITH {TF} SELECT doc_id, term, tf FROM tf")

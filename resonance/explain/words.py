@@ -51,7 +51,7 @@ def word_scores(df: DataFrame, bundle: PipelineModel, key: str = "post_id", text
     """Score of each word standing alone for its post's text, all other columns unchanged."""
     words = S.words(F.col(text))
     long_enough = df.where(S.not_blank(F.col(text)) & (F.size(words) >= FEWEST_WORDS))
-    each = long_enough.select("*", F.posexplode(words).alias("pos", "word")).withColumn(text, F.col("word"))
+    each = features.exploded(long_enough, ["*"], words, "word", "pos").withColumn(text, F.col("word"))
     return bundle.transform(each).select(key, "pos", "word", F.col("prediction").alias("score"))
 
 

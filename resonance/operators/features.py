@@ -67,11 +67,21 @@ def with_terms(df: DataFrame, text: str, out: str = "terms", ngrams: int = 2,
     )
 
 
+def exploded(df: DataFrame, keep: Sequence[str], array: Column, name: str, pos: str | None = None) -> DataFrame:
+    """``keep`` and one row per entry of ``array``, whose entries are not null.
+
+    From a plain explode Spark infers the filter "the array is not empty" and
+    pushes it down to the scan, where it builds the whole array a second time.
+    """
+    names = [pos, name] if pos else [name]
+    generate = F.posexplode_outer(array) if pos else F.explode_outer(array)
+    return df.select(*keep, generate.alias(*names)).where(F.col(name).isNotNull())
+
+
 def term_counts(df: DataFrame, doc_id: str, text: str, **options) -> DataFrame:
     """``doc_id, term, tf``; the counts are complete before the shuffle."""
     return (
-        with_terms(df.select(doc_id, text), text, **options)
-        .select(doc_id, F.explode("terms").alias("term"))
+        exploded(with_terms(df.select(doc_id, text), text, **options), [doc_id], F.col("terms"), "term")
         .groupBy(doc_id, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -91,8 +101,7 @@ def vocabulary(df: DataFrame, text: str, size: int = VOCABULARY_SIZE, **options)
         ),
     )
     return (
-        with_terms(df.select(text), text, **options)
-        .select(F.explode(marks).alias("m"))
+        exploded(with_terms(df.select(text), text, **options), [], marks, "m")
         .groupBy("m.term")
         .agg(F.sum("m.tf").alias("tf"), F.sum("m.df").alias("df"))
         .orderBy(F.col("tf").desc(), "term")
@@ -113,8 +122,7 @@ def tfidf_long(df: DataFrame, doc_id: str, text: str, fit_on: DataFrame | None =
     idf = F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1
     vocab = vocabulary(source, text, size, **options).withColumn("_n", n_docs).select("term", idf.alias("idf"))
     raw = (
-        with_terms(df.select(doc_id, text), text, **options)
-        .select(doc_id, F.explode("terms").alias("term"))
+        exploded(with_terms(df.select(doc_id, text), text, **options), [doc_id], F.col("terms"), "term")
         .join(F.broadcast(vocab), "term")
         .groupBy(doc_id, "term", "idf")
         .agg(F.count(F.lit(1)).alias("tf"))
@@ -168,7 +176,7 @@ def word_embeddings(df: DataFrame, text: str, embed: Callable[[DataFrame, str],
     Each distinct word is embedded once and joined back. A very common word makes
     one side of that join skewed, which AQE splits.
     """
-    words = df.select("*", F.posexplode(S.words(F.col(text))).alias("pos", "word"))
+    words = exploded(df, ["*"], S.words(F.col(text)), "word", "pos")
     vectors = embed(words.select("word").distinct(), "word")
     return words.join(vectors, "word")
 

@@ -33,6 +33,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table, spread over the cores if it comes in only a few pieces.
+
+    Work on texts is heavy per row, and a file with one row group is one task. A
+    table with more pieces than twice the cores is read as it lies, so large
+    inputs are not shuffled for this.
+    """
+    docs = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() <= 2 * cores else docs
+
+
 def row_count(df: DataFrame) -> Column:
     """Row count of a table as a scalar subquery (answered from file footers)."""
     return df.select(F.count(F.lit(1)).alias("n")).scalar()
@@ -69,9 +81,9 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Collected texts: the documents that carry a label."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     labelled = table(spark, sf_dir, "labels").select("doc_id")
-    return documents.join(labelled, "doc_id", "left_semi").select(
+    return docs.join(labelled, "doc_id", "left_semi").select(
         F.concat(F.lit(f"https://{HOST}/posts/"), F.col("doc_id").cast("string")).alias("post_url"),
         F.col("text").alias("post_text"),
     )
