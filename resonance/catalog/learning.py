@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from resonance.catalog.common import JOINED, POSTS, r, register, rounded
 from resonance.learning import bundle as bundles
 from resonance.learning import metrics, models, splits, tuning
 from resonance.learning.perceptron import PerceptronRegressor
-from resonance.learning.stages import RidgeRegression
+from resonance.learning.stages import PopulationScaler, RidgeRegression
 from resonance.operators import describe, features, relational
-from resonance.plans import flows, standins
+from resonance.plans import flows, standins, training
 from resonance.sources import scratch
 
 LABEL = models.LABEL
@@ -124,48 +125,22 @@ def m3_weekday_stump(spark, sf_dir):
     return fitted.transform(df).select("post_id", rounded("prediction").alias("prediction"))
 
 
-def _evaluated(train, test, stages, name):
-    fitted = models.pipeline(*stages).fit(train)
-    return metrics.regression_metrics(fitted.transform(test)).select(F.lit(name).alias("model"), "n", "mae", "rmse", "r2")
-
-
 @register("m2_m3_baseline_models")
 def m2_m3_baseline_models(spark, sf_dir):
     """Least squares and a depth-5 tree on four features, tested on held-out posts."""
-    clean = relational.fill_numeric(
-        relational.drop_missing(standins.posts(spark, sf_dir), LABEL), features.BASELINE
-    )
-    train, test = splits.split(clean.select("post_id", *features.BASELINE, LABEL).persist(), "post_id")
-    line = _evaluated(train, test, [*models.baseline_features(), models.linear()], "LinearRegression")
-    tree = _evaluated(train, test, [*models.baseline_features(), models.tree()], "DecisionTree")
-    return line.unionByName(tree)
+    return training.baseline_models(standins.posts(spark, sf_dir))
 
 
 @register("m4_text_ridge_model")
 def m4_text_ridge_model(spark, sf_dir):
     """TF-IDF and numbers into ridge, fitted on the training part, tested on the rest."""
-    rows = relational.drop_missing(flows.posts_with_text(spark, sf_dir), "post_text", LABEL)
-    train, test = splits.split(rows.select("post_id", "post_text", *features.TEXT, LABEL).persist(), "post_id")
-    return _evaluated(train, test, [*models.text_features(), RidgeRegression(labelCol=LABEL)], "TF-IDF + Ridge")
+    return training.text_model(flows.posts_with_text(spark, sf_dir))
 
 
 @register("m4_embedding_ridge_model")
 def m4_embedding_ridge_model(spark, sf_dir):
     """Text vectors alone into ridge."""
-    rows = relational.drop_missing(flows.posts_with_text(spark, sf_dir), "post_text", LABEL)
-    embedded = features.hashed_embedding(rows.select("post_id", "post_text", LABEL), "post_text", "features").persist()
-    train, test = splits.split(embedded, "post_id")
-    return _evaluated(train, test, [RidgeRegression(labelCol=LABEL)], "Embedding + Ridge")
-
-
-def tuning_table(spark, sf_dir):
-    """Text vector and numbers of each post with text, its label and its fold."""
-    rows = relational.drop_missing(flows.posts_with_text(spark, sf_dir), "post_text")
-    filled = relational.fill_numeric(rows, features.TUNING)
-    embedded = features.hashed_embedding(filled, "post_text")
-    assembled = models.assembler(["embedding", *features.TUNING]).transform(embedded)
-    folded = splits.with_contiguous_fold(assembled.select("post_id", "features", LABEL), "post_id")
-    return scratch.written(folded, "tuning-table").persist()
+    return training.embedding_model(flows.posts_with_text(spark, sf_dir))
 
 
 # The searches registered here use fewer and smaller models than tuning.GRIDS,
@@ -178,10 +153,8 @@ SHORT_GRIDS = {
 
 
 def _leaderboard(spark, sf_dir, names):
-    table = tuning_table(spark, sf_dir)
-    results = [tuning.grid_search(table, name, SHORT_GRIDS[name]) for name in names]
-    table.unpersist()
-    return metrics.leaderboard(spark, results)
+    table = training.tuning_table(flows.posts_with_text(spark, sf_dir))
+    return training.compare_models(table, {name: SHORT_GRIDS[name] for name in names})
 
 
 @register("m8_ridge_grid_search")
@@ -200,15 +173,13 @@ def m5_m6_m12_leaderboard(spark, sf_dir):
 @register("m7_perceptron")
 def m7_perceptron(spark, sf_dir):
     """Perceptron on scaled numbers, tested on held-out posts."""
-    from resonance.learning.stages import PopulationScaler
-
     rows = relational.fill_numeric(standins.posts(spark, sf_dir), features.TUNING)
-    train, test = splits.split(rows.select("post_id", *features.TUNING, LABEL).persist(), "post_id")
+    train, test = splits.split(scratch.written(rows.select("post_id", *features.TUNING, LABEL), "posts"), "post_id")
     stages = [
         PopulationScaler(inputCols=list(features.TUNING), outputCol="features"),
         PerceptronRegressor(labelCol=LABEL, hidden=[64], maxIter=40),
     ]
-    return _evaluated(train, test, stages, "Perceptron")
+    return training.evaluated(train, test, stages, "Perceptron")
 
 
 def scoring_bundle(spark, sf_dir):
@@ -220,11 +191,27 @@ def scoring_bundle(spark, sf_dir):
     return table, fitted, about
 
 
-@register("e9_preprocessor_description")
-def e9_preprocessor_description(spark, sf_dir):
-    """The record kept with the preprocessor: names, allowed values, widths."""
-    _, about = bundles.fit_preprocessor(flows.scoring_table(spark, sf_dir))
-    return about
+@register(
+    "e9_preprocessor_scales",
+    f"WITH {POSTS} "
+    + " UNION ALL ".join(
+        f"SELECT CAST({i} AS INTEGER) AS position, '{c}' AS feature, {r(f'avg({c})')} AS mean, "
+        f"{r(f'stddev_pop({c})')} AS deviation, 396 AS expected_dim FROM posts"
+        for i, c in enumerate(standins.METRICS)
+    ),
+)
+def e9_preprocessor_scales(spark, sf_dir):
+    """What the preprocessor learnt of each number, with the width it was built for."""
+    model, about = bundles.fit_preprocessor(flows.scoring_table(spark, sf_dir))
+    scaler = model.stages[0]
+    learnt = zip(scaler.getInputCols(), scaler.getOrDefault("means"), scaler.getOrDefault("deviations"))
+    rows = [(i, name, mean, deviation) for i, (name, mean, deviation) in enumerate(learnt)]
+    scales = spark.createDataFrame(rows, "position int, feature string, mean double, deviation double")
+    width = about.select("expected_dim").scalar()
+    return scales.select(
+        "position", "feature", rounded("mean").alias("mean"), rounded("deviation").alias("deviation"),
+        width.alias("expected_dim"),
+    )
 
 
 @register("e3_assembled_widths", f"WITH {JOINED} SELECT 396 AS width, count(*) AS n_rows FROM joined")
@@ -232,8 +219,6 @@ def e3_assembled_widths(spark, sf_dir):
     """Numbers, category flags and text vector side by side; the width is checked."""
     table = flows.scoring_table(spark, sf_dir)
     preprocessor, _ = bundles.fit_preprocessor(table)
-    from pyspark.ml.functions import vector_to_array
-
     widths = preprocessor.transform(table).select(F.size(vector_to_array("features")).alias("width"))
     return widths.groupBy("width").agg(F.count(F.lit(1)).alias("n_rows"))
 

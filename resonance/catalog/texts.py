@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from resonance.catalog.common import POSTS, TYPED, r, register, rounded
@@ -84,7 +85,8 @@ def e7_text_embeddings(spark, sf_dir):
     """Vector of every post text, with its length (0 for a text without terms)."""
     with_text = flows.posts_with_text(spark, sf_dir).select("post_id", "post_text")
     vectors = features.hashed_embedding(with_text, "post_text")
-    return vectors.select("post_id", rounded(features.vector_norm("embedding")).alias("norm"), "embedding")
+    return vectors.select("post_id", rounded(features.vector_norm("embedding")).alias("norm"),
+                          vector_to_array("embedding").alias("embedding"))
 
 
 @register(

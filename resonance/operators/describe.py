@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from resonance.operators.quantiles import exact_percentiles
+from resonance.operators.quantiles import exact_percentiles, maybe_broadcast
 
 QUARTILES = (0.25, 0.5, 0.75)
 CORRELATED = ("impressions", "reactions", "comments", "reposts", "saves", "engagement_rate")
@@ -169,11 +169,9 @@ def box_stats(df: DataFrame, by: str, c: str, groups: int | None = None) -> Data
         .withColumn("_lo", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")))
         .withColumn("_hi", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     )
-    if groups is not None:
-        quartiles = F.broadcast(quartiles)
     inside = (F.col("v") >= F.col("_lo")) & (F.col("v") <= F.col("_hi"))
     return (
-        rows.join(quartiles, by)
+        rows.join(maybe_broadcast(quartiles, groups), by)
         .groupBy(by, "q1", "median", "q3")
         .agg(
             F.count(F.lit(1)).alias("n"),

@@ -22,6 +22,8 @@ SCORING = ("impressions", "reactions", "comments", "reposts", "saves", "likes")
 VOCABULARY_SIZE = 3000
 EMBEDDING_SIZE = 384
 
+BROADCAST_TERMS = 200_000
+
 # The target is (reactions + comments + reposts) / impressions, so lists that
 # hold those columns give the answer away. These do not.
 LEAK_FREE = {
@@ -115,7 +117,7 @@ def tfidf_long(df: DataFrame, doc_id: str, text: str, fit_on: DataFrame | None =
 
     Weight is tf * (ln((1 + n) / (1 + df)) + 1), each text scaled to length 1;
     vocabulary and n come from ``fit_on``. The vocabulary has at most ``size``
-    rows, so it is broadcast and only its terms are shuffled.
+    rows; up to ``BROADCAST_TERMS`` it is broadcast, and only its terms are shuffled.
     """
     source = fit_on if fit_on is not None else df
     n_docs = source.select(F.count(text).alias("n")).scalar()
@@ -123,7 +125,7 @@ def tfidf_long(df: DataFrame, doc_id: str, text: str, fit_on: DataFrame | None =
     vocab = vocabulary(source, text, size, **options).withColumn("_n", n_docs).select("term", idf.alias("idf"))
     raw = (
         exploded(with_terms(df.select(doc_id, text), text, **options), [doc_id], F.col("terms"), "term")
-        .join(F.broadcast(vocab), "term")
+        .join(F.broadcast(vocab) if size <= BROADCAST_TERMS else vocab, "term")
         .groupBy(doc_id, "term", "idf")
         .agg(F.count(F.lit(1)).alias("tf"))
         .select(doc_id, "term", (F.col("tf") * F.col("idf")).alias("w"))
