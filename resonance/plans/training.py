@@ -56,10 +56,11 @@ def tuning_table(posts: DataFrame, key: str = "post_id", text: str = "post_text"
                  embed=features.hashed_embedding, contiguous: bool = True) -> DataFrame:
     """Key, feature vector (text vector, then numbers), label and fold of each post with text."""
     rows = relational.drop_missing(tables.require_columns(posts, text), text)
-    vectors = embed(relational.fill_numeric(rows, features.TUNING), text, "embedding")
-    joined = models.assembler(["embedding", *features.TUNING]).transform(vectors).select(key, "features", LABEL)
     assign = splits.with_contiguous_fold if contiguous else splits.with_hash_fold
-    return assign(written(joined, "tuning-table"), key)
+    folded = assign(relational.fill_numeric(rows, features.TUNING), key)
+    vectors = embed(folded, text, "embedding")
+    joined = models.assembler(["embedding", *features.TUNING]).transform(vectors)
+    return written(joined.select(key, "features", LABEL, "fold"), "tuning-table")
 
 
 def compare_models(table: DataFrame, grids: dict | None = None, parallelism: int = 2) -> DataFrame:
