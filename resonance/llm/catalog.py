@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resonance.llm import bpe, packing
-from resonance.llm.support import table
+from resonance.llm import attribution, bpe, language, lines, packing
+from resonance.llm.support import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,11 +30,51 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+@query
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), fold(F.col("doc_id"), 4) == 2
+    model = language.train(docs.where(~held_out))
+    return language.identify(docs, model, ["doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out")])
+
+
 @query
 def op2_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
+@query
+def op6_boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
+    cleaned = lines.remove_boilerplate(docs)
+    return cleaned.select("doc_id", "text", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"))
+
+
+SQL["op6_boilerplate_lines"] = f"""
+WITH l AS (
+  SELECT doc_id, source, i AS pos, string_split(text, chr(10))[i] AS line
+  FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i)),
+spread AS (
+  SELECT trim(line) AS line FROM l WHERE trim(line) <> '' GROUP BY 1
+  HAVING count(DISTINCT source) >= {lines.MIN_SITES}),
+placed AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY trim(l.line) ORDER BY doc_id, pos) AS place
+  FROM l WHERE trim(line) IN (SELECT line FROM spread)),
+gone AS (SELECT doc_id, pos FROM placed WHERE place > 1)
+SELECT d.doc_id,
+  CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, CASE WHEN g.n > 0 THEN '' ELSE d.text END) END AS text,
+  coalesce(len(string_split(d.text, chr(10))), 0) AS n_lines, coalesce(g.n, 0) AS n_removed
+FROM documents d
+LEFT JOIN (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM l
+           WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = l.doc_id AND gone.pos = l.pos)
+           GROUP BY l.doc_id) k ON k.doc_id = d.doc_id
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g ON g.doc_id = d.doc_id"""
+
+
+@query
+def op9_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.attribute(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+
+
 @query
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
