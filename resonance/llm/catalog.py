@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resonance.llm import attribution, bpe, jaccard, language, lines, packing
+from resonance.llm import attribution, bpe, jaccard, language, lines, packing, vectors
 from resonance.llm.support import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,11 @@ def op3_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(documents(spark, sf_dir), width=3, num=90, den=100)
 
 
+@query
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op6_boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
