@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resonance.llm import attribution, bpe, jaccard, language, lines, packing, toxicity, vectors
+from resonance.llm import attribution, bpe, fingerprint, jaccard, language, lines, packing, toxicity, vectors
 from resonance.llm.support import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,11 @@ LEFT JOIN (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g ON g.doc_id = d.doc_id"""
 
 
+@query
+def op7_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_edits(documents(spark, sf_dir))
+
+
 @query
 def op9_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.attribute(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
