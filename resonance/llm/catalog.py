@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resonance.llm import attribution, bpe, fingerprint, jaccard, language, lines, packing, toxicity, vectors
+from resonance.llm import attribution, bpe, fingerprint, jaccard, language, lines, packing, pii, toxicity, vectors
 from resonance.llm.support import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +92,12 @@ def op7_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(documents(spark, sf_dir))
 
 
+@query
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.find(docs, pii.train(docs), ["doc_id"])
+
+
 @query
 def op9_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.attribute(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
