@@ -16,15 +16,14 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from resonance.llm import pretokens
-from resonance.llm.support import range_hashes, ragged, slices
+from resonance.llm.support import judged, range_hashes, ragged, slices
 
 #: Words of more bytes are merged one pair at a time from a heap: rounds would be quadratic in their length.
 LONG_WORD = 512
@@ -329,43 +328,35 @@ def encoder(vocabulary: Vocabulary) -> Encoder:
     return _encoders[vocabulary.name]
 
 
-def encode_decode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text",
-                  with_ids: bool = False) -> DataFrame:
-    """Token count, digests of ids and of the decoded text for each row; ids too if asked for.
+def encode_decode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", with_ids: bool = False) -> DataFrame:
+    """All columns of ``docs`` in ``row``, token count, digests of ids and of the decoded text; ids too if asked for.
 
-    A null text is taken as empty: no ids, digests of the empty string. Repeated rows and null keys are
-    kept as they are. Columns other than ``key`` and ``text`` are not read.
+    A null text is taken as empty: no ids, digests of the empty string. Repeated rows are kept; an empty table
+    gives an empty table.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vocabulary)  # fixed size: the vocabulary file
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # fixed size: the vocabulary file
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(texts: list[str]) -> dict:
         v = shared.value
-        enc = encoder(v)
-        numbers, number_at, number_len = joined_numbers(v)
-        for batch in batches:
-            texts = batch[text].fillna("").tolist()
-            for a, b in slices(texts):
-                ids, counts, _ = enc.encode(texts[a:b])
-                edges = np.append(0, np.cumsum(counts))
-                size, length = number_len[ids], v.token_lengths[ids]
-                listed = numbers[ragged(number_at[ids], size)].tobytes()
-                spelled = v.token_bytes[ragged(v.token_starts[ids], length)].tobytes()
-                cut = np.append(0, np.cumsum(size))[edges].tolist()
-                end = np.append(0, np.cumsum(length))[edges].tolist()
-                out = {
-                    key: batch[key].iloc[a:b],
-                    "n_tokens": counts,
-                    "ids_sha256": [hashlib.sha256(listed[x: max(x, y - 1)]).hexdigest() for x, y in zip(cut, cut[1:])],
-                    "decoded_sha256": [
-                        hashlib.sha256(spelled[x:y].decode("utf-8", "replace").encode()).hexdigest()
-                        for x, y in zip(end, end[1:])
-                    ],
-                }
-                if with_ids:
-                    out["ids"] = [ids[x:y].tolist() for x, y in zip(edges[:-1], edges[1:])]
-                yield pd.DataFrame(out)
-
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(key, text).mapInPandas(run, schema + (", ids array<int>" if with_ids else ""))
+        enc, (numbers, number_at, number_len) = encoder(v), joined_numbers(v)
+        out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+        if with_ids:
+            out["ids"] = []
+        for a, b in slices(texts):
+            ids, counts, _ = enc.encode(texts[a:b])
+            edges = np.append(0, np.cumsum(counts))
+            size, length = number_len[ids], v.token_lengths[ids]
+            listed = numbers[ragged(number_at[ids], size)].tobytes()
+            spelled = v.token_bytes[ragged(v.token_starts[ids], length)].tobytes()
+            cut = np.append(0, np.cumsum(size))[edges].tolist()
+            end = np.append(0, np.cumsum(length))[edges].tolist()
+            out["n_tokens"] += counts.tolist()
+            out["ids_sha256"] += [hashlib.sha256(listed[x: max(x, y - 1)]).hexdigest() for x, y in zip(cut, cut[1:])]
+            decoded = [spelled[x:y].decode("utf-8", "replace") for x, y in zip(end, end[1:])]
+            out["decoded_sha256"] += [hashlib.sha256(t.encode()).hexdigest() for t in decoded]
+            if with_ids:
+                out["ids"] += [ids[x:y] for x, y in zip(edges[:-1], edges[1:])]
+        return out
+
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    return judged(docs, F.col(text), judge, schema).select("row", "out.*")

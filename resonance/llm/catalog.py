@@ -34,7 +34,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = documents(spark, sf_dir), fold(F.col("doc_id"), 4) == 2
     model = language.train(docs.where(~held_out))
-    return language.identify(docs, model, ["doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out")])
+    known = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
+    return language.identify(known, model).select("row.doc_id", "row.held_out", "lang_pred", "score")
 
 
 @query
@@ -56,14 +57,14 @@ def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = documents(spark, sf_dir), fold(F.col("doc_id"), 3) == 1
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out))
-    return toxicity.score_texts(docs, model, ["doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out")])
+    known = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
+    return toxicity.score_texts(known, model).select("row.doc_id", "row.held_out", "score", "predicted")
 
 
 @query
 def op6_boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
-    cleaned = lines.remove_boilerplate(docs)
-    return cleaned.select("doc_id", "text", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"))
+    return lines.remove_boilerplate(docs).select("row.doc_id", F.col("cleaned").alias("text"), "n_lines", "n_removed")
 
 
 SQL["op6_boilerplate_lines"] = f"""
@@ -94,8 +95,9 @@ def op7_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return pii.find(docs, pii.train(docs), ["doc_id"])
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs))
+    return found.select("row.doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
 @query
@@ -105,4 +107,6 @@ def op9_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    coded = bpe.encode_decode(docs, tokenizer("byte_bpe_50k.json"))
+    return coded.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

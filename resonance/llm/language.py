@@ -12,11 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from resonance.llm import pretokens
-from resonance.llm.support import mixed, slices
+from resonance.llm.support import judged, mixed, slices
 
 #: Buckets of each order, as a power of two: log probabilities of one language fit a core's cache.
 BUCKET_BITS = 15
@@ -127,27 +127,18 @@ def score(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.where(letters > 0, best, -1), np.where(letters > 0, posterior, 0.0)
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str | Column], text: str = "text") -> DataFrame:
-    """``keep`` columns, ``lang_pred`` and ``score`` of every row.
+def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """All columns of ``docs`` in ``row``, ``lang_pred`` and ``score`` of every row.
 
     A text that is null or has no letter gets ``und`` and 0, and so does every text if the model has learned
-    no language. Repeated rows are kept. A ``keep`` column must not be called like a column that is added.
+    no language. Repeated rows are kept; an empty table gives an empty table.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x buckets
-    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    kept = [f for f in rows.schema if f.name != "__text"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(texts: list[str]) -> dict:
         names = np.array([*shared.value.labels, "und"], object)
-        for batch in batches:
-            texts = batch["__text"].tolist()
-            best, sure = [np.zeros(0, int)], [np.zeros(0)]
-            for a, b in slices(texts):
-                x, y = score(shared.value, texts[a:b])
-                best.append(x)
-                sure.append(y)
-            out = batch.drop(columns="__text")
-            yield out.assign(lang_pred=names[np.concatenate(best)], score=np.concatenate(sure))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return rows.mapInPandas(run, f"{schema}, lang_pred string, score double")
+        found = [score(shared.value, texts[a:b]) for a, b in slices(texts)]
+        best, sure = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0))
+        return {"lang_pred": names[best], "score": sure}
+
+    return judged(docs, F.col(text), judge, "lang_pred string, score double").select("row", "out.*")

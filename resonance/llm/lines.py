@@ -61,10 +61,10 @@ def without(lines: Column, gone: Column) -> Column:
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, keep_first: bool = True, key: str = "doc_id",
                        text: str = "text", site: str = "source") -> DataFrame:
-    """All rows and columns of ``docs``, ``text`` without lines shown by ``min_sites`` sites or more.
+    """All columns of ``docs`` in ``row``; ``cleaned``, the text without lines shown by ``min_sites`` sites or more.
 
     Lines are compared without spaces around them; blank lines stay. With ``keep_first`` the first place of a
-    line (least key, then position) keeps it. Adds ``__lines`` and ``__removed``, the numbers of lines that were
+    line (least key, then position) keeps it. ``n_lines`` and ``n_removed`` count the lines that were
     there and that went. A null text stays null, with 0 lines; a null site counts for no line; repeated rows are
     cleaned alike, rows of one key with different texts each by its own lines. An empty table gives an empty table.
     """
@@ -74,14 +74,14 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, keep_first:
         here = F.struct("k", "pos", "t")
         hits = hits.where(~here.eqNullSafe(F.col("first")))
     gone = hits.groupBy("k", "t").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
-    parts = docs.withColumns({"__t": F.xxhash64(text)}).alias("d").join(
-        gone.alias("g"), F.col(f"d.{key}").eqNullSafe(F.col("g.k")) & (F.col("__t") == F.col("g.t")), "left"
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    parts = docs.select(F.struct(*columns).alias("row"), F.xxhash64(text).alias("rt")).join(
+        gone, F.col(f"row.`{key}`").eqNullSafe(F.col("k")) & (F.col("rt") == F.col("t")), "left"
     )
-    lines = F.split(F.col(f"d.{text}"), "\n", -1)
-    cleaned = F.when(F.col("gone").isNull(), F.col(f"d.{text}")).otherwise(F.array_join(without(lines, F.col("gone")), "\n"))
-    columns = [cleaned.alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns]
+    whole = F.col(f"row.`{text}`")
+    lines = F.split(whole, "\n", -1)
+    cleaned = F.when(F.col("gone").isNull(), whole).otherwise(F.array_join(without(lines, F.col("gone")), "\n"))
     return parts.select(
-        *columns,
-        F.when(F.col(f"d.{text}").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("__lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("__removed"),
+        "row", cleaned.alias("cleaned"), F.when(whole.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )

@@ -17,9 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from resonance.llm.support import judged
+
 KINDS = ("email", "ip", "card", "phone")
 #: Labels of tokens: the kinds, and none.
 LABELS = (*KINDS, "none")
@@ -295,38 +297,30 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def find(docs: DataFrame, field: Field, keep: list[str | Column], text: str = "text", mask: bool = False) -> DataFrame:
-    """``keep`` columns, a count of pattern spans for each kind, ``base_sha256``, ``spans`` and, with ``mask``, ``masked``.
+def find(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
+    """All columns of ``docs`` in ``row``, a count of pattern spans for each kind, ``base_sha256``, ``spans`` and ``masked``.
 
-    Positions are code points, ends exclusive; null texts count as empty (``masked`` stays null). Repeated rows
-    are kept. A ``keep`` column must not be called like a column that is added.
+    Positions are code points, ends exclusive. Null texts count as empty; ``masked`` is the text with its spans
+    replaced by their kinds, null where there is none. Repeated rows are kept; an empty table gives an empty table.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)  # labels x shapes
-    useful = F.col(text).rlike("[0-9@]")
-    sent = F.col(text) if mask else F.when(useful, F.col(text))
-    rows = docs.select(*keep, sent.alias("__text"), useful.alias("__useful"))
-    kept = [f for f in rows.schema if not f.name.startswith("__")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        nothing = hashlib.sha256(b"").hexdigest()
-        for batch in batches:
-            at = np.flatnonzero(batch["__useful"].fillna(False).to_numpy(bool))
-            texts = batch["__text"].iloc[at].tolist()
-            bases = [base_spans(t) for t in texts]
-            every = [b + a for b, a in zip(bases, added_spans(texts, bases, shared.value))]
-            counts = np.zeros((len(batch), len(KINDS)), np.int64)
-            digest, spans = np.full(len(batch), nothing, object), np.full(len(batch), "", object)
-            plain = batch["__text"].to_numpy(object).copy()
-            for i, t, base, full in zip(at.tolist(), texts, bases, every):
-                counts[i] = np.bincount([k for k, _, _ in base], minlength=len(KINDS))
-                digest[i] = hashlib.sha256(listed(base).encode()).hexdigest()
-                spans[i] = listed(full)
-                if mask:
-                    plain[i] = masked(t, full)
-            out = batch.drop(columns=["__text", "__useful"]).assign(
-                **{f"n_{k}": counts[:, i] for i, k in enumerate(KINDS)}, base_sha256=digest, spans=spans
-            )
-            yield out.assign(masked=plain) if mask else out
-
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"n_{k} long" for k in KINDS]
-    return rows.mapInPandas(run, ", ".join([*schema, "base_sha256 string, spans string"] + ["masked string"] * mask))
+    nothing = hashlib.sha256(b"").hexdigest()
+
+    def judge(texts: list[str]) -> dict:
+        at = [i for i, t in enumerate(texts) if t]
+        some = [texts[i] for i in at]
+        bases = [base_spans(t) for t in some]
+        every = [b + a for b, a in zip(bases, added_spans(some, bases, shared.value))]
+        counts = np.zeros((len(texts), len(KINDS)), np.int64)
+        digest, spans, plain = [nothing] * len(texts), [""] * len(texts), [None] * len(texts)
+        for i, t, base, full in zip(at, some, bases, every):
+            counts[i] = np.bincount([k for k, _, _ in base], minlength=len(KINDS))
+            digest[i] = hashlib.sha256(listed(base).encode()).hexdigest()
+            spans[i] = listed(full)
+            plain[i] = masked(t, full) if full else None
+        columns = {f"n_{k}": counts[:, i] for i, k in enumerate(KINDS)}
+        return columns | {"base_sha256": digest, "spans": spans, "masked": pd.Series(plain, dtype=object)}
+
+    useful = F.when(F.col(text).rlike("[0-9@]"), F.col(text))  # other texts have no span
+    schema = ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, masked string"
+    return judged(docs, useful, judge, schema).select("row", "out.*")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +77,26 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
         np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers(BASE, n), out=sums[1:])
         h = (sums[ends] - sums[starts]) * powers(INVERSE, n + 1)[starts]
         return mixed(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def judged(docs: DataFrame, text: Column, judge: Callable[[list[str]], dict], schema: str) -> DataFrame:
+    """Two columns: ``row``, all columns of ``docs`` as they are, and ``out``, what ``judge`` says of ``text``.
+
+    ``judge`` gets a batch of texts (null: empty) and returns columns of the same length. Only the text goes to
+    Python, so no name or type of another column matters.
+    """
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame(judge(batch.tolist()))
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    # Not repeated where a filter on the result could be pushed below it.
+    out = F.pandas_udf(run, schema).asNondeterministic()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.select(F.struct(*columns).alias("row"), out(F.coalesce(text, F.lit(""))).alias("out"))
+
+
+def row_columns(docs: DataFrame, **changed: Column) -> list[Column]:
+    """The columns of ``docs`` out of ``row``, some of them changed."""
+    return [changed[c].alias(c) if c in changed else F.col(f"row.`{c}`") for c in docs.columns]

@@ -17,9 +17,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from resonance.llm.support import judged
+
 #: Terms that are known without labels, and how sure one of them is.
 BASE_TERMS = ("idiot", "idiots", "stupid", "moron", "morons", "loser", "losers", "trash", "scum", "clown", "pathetic",
               "worthless", "disgusting", "imbecile", "dumbass", "bastard", "asshole", "bitch", "retard", "scumbag")
@@ -279,25 +281,20 @@ def chosen(found: dict[str, tuple[int, int]]) -> dict[str, float]:
 _scorers: dict[str, Scorer] = {}
 
 
-def score_texts(docs: DataFrame, model: Model, keep: list[str | Column], text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """``keep`` columns, ``score`` and ``predicted`` of every row.
+def score_texts(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
+    """All columns of ``docs`` in ``row``, ``score`` and ``predicted`` of every row.
 
-    Null and empty texts get the rate of texts without matches. Repeated rows are kept. A ``keep`` column must
-    not be called like a column that is added.
+    Null and empty texts get the rate of texts without matches. Repeated rows are kept; an empty table gives an
+    empty table.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     name = uuid.uuid4().hex  # a process keeps the scorer of one model
-    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    kept = [f for f in rows.schema if f.name != "__text"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(texts: list[str]) -> dict:
         if name not in _scorers:
             _scorers.clear()
             _scorers[name] = Scorer(shared.value)
-        scorer = _scorers[name]
-        for batch in batches:
-            score = np.array([scorer.score(t) for t in batch["__text"]], float)
-            yield batch.drop(columns="__text").assign(score=score, predicted=(score >= threshold).astype(np.int32))
+        scores = np.array([_scorers[name].score(t) for t in texts], float)
+        return {"score": scores, "predicted": (scores >= threshold).astype(np.int32)}
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return rows.mapInPandas(run, f"{schema}, score double, predicted int")
+    return judged(docs, F.col(text), judge, "score double, predicted int").select("row", "out.*")
