@@ -26,61 +26,63 @@ SHARD_ROWS, LEAST_SHARDS, BLOCK_ROWS = 16_384, 4, 8_192
 #: Neighbours of a node above the base layer and on it; one node in LAYER is also on the next layer.
 DEGREE, BASE_DEGREE, LAYER = 12, 24, 16
 #: Beam when building, first and widest beam when searching; queries in step; nodes expanded in a step.
-BUILD_BEAM, FIRST_BEAM, WIDEST_BEAM, STEP_ROWS, EXPANDED = 48, 64, 512, 512, 4
+BUILD_BEAM, FIRST_BEAM, WIDEST_BEAM, STEP_ROWS, EXPANDED = 48, 32, 128, 512, 4
+#: Bytes for the marks of nodes that rows in step have met.
+STAMPS = 64_000_000
 #: Queries of a block that are compared with the whole shard, and the recall of links they must show.
 AUDITED, RECALL = 256, 0.99
 #: Single-precision slack when collecting links to verify.
 SLACK = 1e-4
 
 
+def fresh(stamp: np.ndarray, own: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """``near`` with -1 for nodes a row has met before; ``own`` are the rows' places in ``stamp``."""
+    mark = np.arange(1, near.shape[1] + 1, dtype=np.uint8)[None, :]
+    node = np.maximum(near, 0)
+    new = (near >= 0) & (stamp[own, node] == 0)
+    row, place = np.nonzero(new)
+    stamp[own[row, 0], node[row, place]] = mark[0, place]
+    return np.where(new & (stamp[own, node] == mark), near, -1)
+
+
 def walk(vectors: np.ndarray, neighbours: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and similarities of the ``beam`` best nodes found for each query, best first; -1 where fewer."""
     out_ids = np.full((len(queries), beam), -1, np.int32)
     out_sims = np.full((len(queries), beam), -np.inf, np.float32)
-    for a in range(0, len(queries), STEP_ROWS):
-        rows = np.arange(a, min(a + STEP_ROWS, len(queries)))
+    step = max(1, min(STEP_ROWS, STAMPS // max(len(vectors), 1)))
+    for a in range(0, len(queries), step):
+        rows = np.arange(a, min(a + step, len(queries)))
+        own = np.arange(len(rows))[:, None]
+        # Of each row and node, the place (from 1) at which the row first met it.
+        stamp = np.zeros((len(rows), len(vectors)), np.uint8)
         ids = np.full((len(rows), beam), -1, np.int32)
         sims = np.full((len(rows), beam), -np.inf, np.float32)
         done = np.zeros((len(rows), beam), bool)
-        start = entry[rows]
-        width = min(start.shape[1], beam)
-        found = np.einsum("qed,qd->qe", vectors[start], queries[rows])
-        order = np.argsort(-found, axis=1, kind="stable")[:, :width]
-        ids[:, :width] = np.take_along_axis(start, order, 1)
-        sims[:, :width] = np.take_along_axis(found, order, 1)
+        near, sim = fresh(stamp, own, entry[rows]), None
         while len(rows):
+            sim = np.matmul(vectors[near], queries[rows][:, :, None])[:, :, 0]
+            sim[near < 0] = -np.inf
+            all_sims = np.concatenate([sims, sim], axis=1)
+            best = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
+            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(all_sims, best, 1), axis=1, kind="stable"), 1)
+            sims = np.take_along_axis(all_sims, best, 1)
+            ids = np.take_along_axis(np.concatenate([ids, near], axis=1), best, 1)
+            done = np.take_along_axis(np.concatenate([done, near < 0], axis=1), best, 1)
             waiting = ~done & (ids >= 0)
             live = waiting.any(axis=1)
             if not live.all():
                 ended = ~live
                 out_ids[rows[ended]], out_sims[rows[ended]] = ids[ended], sims[ended]
-                rows, ids, sims, done, waiting = (x[live] for x in (rows, ids, sims, done, waiting))
+                rows, own, ids, sims, done, waiting = (x[live] for x in (rows, own, ids, sims, done, waiting))
                 if not len(rows):
                     break
-            # The first few waiting places of each row; rows with fewer repeat a node, which does no harm.
+            # The first few waiting places of each row.
             place = np.argsort(~waiting, axis=1, kind="stable")[:, :EXPANDED]
             chosen = np.take_along_axis(waiting, place, 1)
             np.put_along_axis(done, place, True, 1)
-            nodes = np.where(chosen, np.take_along_axis(ids, place, 1), np.take_along_axis(ids, place[:, :1], 1))
-            near = neighbours[nodes].reshape(len(rows), -1)
-            sim = np.einsum("qed,qd->qe", vectors[near], queries[rows])
-            sim[near < 0] = -np.inf
-            all_ids = np.concatenate([ids, near], axis=1)
-            all_sims = np.concatenate([sims, sim], axis=1)
-            all_done = np.concatenate([done, np.zeros(near.shape, bool)], axis=1)
-            # By node first (a place already held comes first), so that repeats can be struck out.
-            order = np.argsort(all_ids, axis=1, kind="stable")
-            sorted_ids = np.take_along_axis(all_ids, order, 1)
-            again = np.zeros(sorted_ids.shape, bool)
-            again[:, 1:] = sorted_ids[:, 1:] == sorted_ids[:, :-1]
-            struck = np.zeros(again.shape, bool)
-            np.put_along_axis(struck, order, again, 1)
-            all_sims[struck] = -np.inf
-            best = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
-            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(all_sims, best, 1), axis=1, kind="stable"), 1)
-            sims = np.take_along_axis(all_sims, best, 1)
-            ids = np.where(sims > -np.inf, np.take_along_axis(all_ids, best, 1), -1)
-            done = np.take_along_axis(all_done, best, 1)
+            near = neighbours[np.take_along_axis(ids, place, 1)]
+            near[~chosen] = -1
+            near = fresh(stamp, own, near.reshape(len(rows), -1))
     return out_ids, out_sims
 
 
@@ -89,7 +91,8 @@ def diverse(vectors: np.ndarray, ids: np.ndarray, sims: np.ndarray, degree: int)
 
     A candidate is taken if it is nearer to the node than to any taken before; free places go to the best others.
     """
-    between = np.einsum("qed,qfd->qef", vectors[ids], vectors[ids])
+    own = vectors[ids]
+    between = np.matmul(own, own.transpose(0, 2, 1))
     taken = np.zeros(ids.shape, bool)
     for j in range(ids.shape[1]):
         nearer = (between[:, j, :j] > sims[:, j, None]) & taken[:, :j]
@@ -157,7 +160,7 @@ class Graph:
             own = nodes[x: x + STEP_ROWS]
             ids = np.concatenate([links[own], added[x: x + STEP_ROWS]], axis=1)
             ids = np.where((ids[:, :, None] == ids[:, None, :]).argmax(axis=2) == np.arange(ids.shape[1]), ids, -1)
-            sims = np.einsum("qed,qd->qe", v[ids], v[own])
+            sims = np.matmul(v[ids], v[own][:, :, None])[:, :, 0]
             sims[ids < 0] = -np.inf
             order = np.argsort(-sims, axis=1, kind="stable")
             links[own] = diverse(v, np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1), degree)
