@@ -320,11 +320,11 @@ def similar_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     component. Other columns are not read; an empty table gives an empty table.
     """
     rule = Rule(num, den)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     sets = written(set_rows(rows, width, rule), "jaccard-sets")
     classes = sets.where("n > 0 and k is not null").groupBy("s1", "s2").agg(F.min("k").alias("rep"))
     total = sets.agg(F.sum("m")).first()[0] or 0
-    usable = rows.where("k is not null and t is not null")
+    usable = rows.where("k is not null and t <> ''")
     members = shared_cells(usable, width, rule, max(1, -(-total // RANGE_CELLS)))
     links = region_links(usable, classes.select("s1", "rep").distinct(), members, width, rule)
     groups = components(links)

@@ -249,8 +249,7 @@ def near_tokens(counts: DataFrame, model: Model) -> frozenset[str]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie = model.trie()
         for batch in batches:
-            near = [any(e for _, e in trie.matches(t)) for t in batch["term"]]
-            yield batch[near]
+            yield pd.DataFrame({"term": [t for t in batch["term"] if any(e for _, e in trie.matches(t))]}, dtype=object)
 
     return frozenset(r["term"] for r in words.select("term").mapInPandas(run, "term string").collect())  # of a bounded sample
 
