@@ -205,7 +205,7 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
             for a, b in slices([t for *_, t in found]):
                 now = held + found[a:b]
                 held = now[-1:]
-                if len(now) > 1:
+                if any(x[0] == y[0] and not x[1] for x, y in zip(now, now[1:])):
                     yield judged(now)
 
     out = in_ranges(rows).mapInPandas(

@@ -182,7 +182,8 @@ def term_counts(rows: DataFrame) -> DataFrame:
             if len(counts[0]) + len(counts[1]) > 1_000_000:
                 yield listed(*counts)
                 counts = (Counter(), Counter())
-        yield listed(*counts)
+        if counts[0] or counts[1]:
+            yield listed(*counts)
 
     def listed(clean: Counter, toxic: Counter) -> pd.DataFrame:
         terms = list(clean.keys() | toxic.keys())
