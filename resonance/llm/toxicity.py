@@ -101,6 +101,27 @@ class Trie:
                 yield self.stems[node] + "*", 0
 
 
+def possible(terms: list[str]) -> re.Pattern:
+    """What a token must hold to match any of ``terms``: with ``k`` errors one of ``k + 1`` parts stays whole.
+
+    The first part then stands at the token's beginning and the last at its end.
+    """
+    first, inner, last = set(), set(), set()
+    for term in terms:
+        if term.endswith("*"):
+            first.add(term[:-1])
+            continue
+        parts = errors_allowed(len(term)) + 1
+        cuts = [len(term) * i // parts for i in range(parts + 1)]
+        pieces = [term[a:b] for a, b in zip(cuts, cuts[1:])]
+        first.add(pieces[0])
+        last.update(pieces[-1:] if parts > 1 else [])
+        inner.update(pieces[1:-1])
+    either = lambda words: "|".join(map(re.escape, sorted(words)))
+    kinds = [(first, "^(?:{})"), (inner, "(?:{})"), (last, "(?:{})$")]
+    return re.compile("|".join(form.format(either(words)) for words, form in kinds if words) or r"(?!)")
+
+
 @dataclass
 class Model:
     """``sureness`` of each entry (stems end with ``*``), tokens that clean documents use, and the base rate."""
@@ -121,6 +142,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.trie = model, model.trie()
+        self.possible = possible(list(model.sureness)).search
         self.seen: set[str] = set()
         self.hits: dict[str, dict[str, float]] = {}
 
@@ -128,7 +150,7 @@ class Scorer:
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
             self.hits.clear()
-        for token in tokens:
+        for token in filter(self.possible, tokens):
             found: dict[str, float] = {}
             for term, errors in self.trie.matches(token):
                 if errors and (token in self.model.clean or token[0].isdigit()):
@@ -248,9 +270,9 @@ def near_tokens(counts: DataFrame, model: Model) -> frozenset[str]:
     words = counts.where((F.col("clean") > 0) & (F.col("clean") * 4 > F.col("toxic")) & ~F.col("term").endswith("*"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie = model.trie()
+        trie, may = model.trie(), possible(list(model.sureness)).search
         for batch in batches:
-            yield pd.DataFrame({"term": [t for t in batch["term"] if any(e for _, e in trie.matches(t))]}, dtype=object)
+            yield pd.DataFrame({"term": [t for t in filter(may, batch["term"]) if any(e for _, e in trie.matches(t))]}, dtype=object)
 
     return frozenset(r["term"] for r in words.select("term").mapInPandas(run, "term string").collect())  # of a bounded sample
 
