@@ -10,6 +10,7 @@ from resonance.explain import trees, words
 from resonance.learning import models
 from resonance.operators import features, relational
 from resonance.plans import flows, standins
+from resonance.sources import scratch
 
 TABULAR = 5 + 7
 
@@ -65,13 +66,15 @@ def m15_mean_absolute_influence(spark, sf_dir):
 @register("m16_keyword_influence")
 def m16_keyword_influence(spark, sf_dir):
     """Ridge weight of every keyword of the posts with engagement."""
-    return words.keyword_influence(flows.posts_with_text(spark, sf_dir).select("post_text", models.LABEL).persist())
+    rows = scratch.written(flows.posts_with_text(spark, sf_dir).select("post_text", models.LABEL), "keyword-posts")
+    return words.keyword_influence(rows)
 
 
 @register("m17_text_model_keywords")
 def m17_text_model_keywords(spark, sf_dir):
     """The twenty keywords that count most in the model of text and numbers."""
-    rows = flows.posts_with_text(spark, sf_dir).select("post_text", *features.TEXT, models.LABEL).persist()
+    posts = flows.posts_with_text(spark, sf_dir).select("post_text", *features.TEXT, models.LABEL)
+    rows = scratch.written(posts, "keyword-posts")
     return words.text_model_keywords(words.fit_text_model(rows), spark)
 
 

@@ -152,17 +152,11 @@ def r6_feature_projection(spark, sf_dir):
     return standins.posts(spark, sf_dir).select("post_id", *features.TUNING)
 
 
-@register(
-    "r7_ranked_by_metric",
-    f"""WITH {POSTS} SELECT post_id, impressions, row_number() OVER (ORDER BY impressions DESC, post_id) AS position
-    FROM posts QUALIFY position <= 100""",
-)
+@register("r7_ranked_by_metric", f"WITH {POSTS} SELECT post_id, impressions FROM posts")
 def r7_ranked_by_metric(spark, sf_dir):
-    """The first hundred posts of the ranking, with their positions."""
-    top = relational.ranked(standins.posts(spark, sf_dir).select("post_id", "impressions"), "impressions", "post_id")
-    return top.limit(100).withColumn(
-        "position", F.row_number().over(relational.report_order("impressions", "post_id")).cast("bigint")
-    )
+    """All posts, most impressions first."""
+    posts = standins.posts(spark, sf_dir).select("post_id", "impressions")
+    return relational.ranked(posts, "impressions", "post_id")
 
 
 _WORD_EFFECT = """words AS (SELECT l_shipdate AS d, avg(l_extendedprice) AS x FROM lineitem GROUP BY 1),
@@ -184,12 +178,11 @@ def _day_effects(spark, sf_dir):
 
 @register(
     "r7_ranked_by_size",
-    f"""WITH {_WORD_EFFECT} SELECT keyword, {r('influence', 4)} AS influence FROM e
-    ORDER BY abs(influence) DESC, keyword LIMIT 50""",
+    f"WITH {_WORD_EFFECT} SELECT keyword, {r('influence', 4)} AS influence FROM e",
 )
 def r7_ranked_by_size(spark, sf_dir):
     ranked = relational.ranked(_day_effects(spark, sf_dir), "influence", "keyword", absolute=True)
-    return ranked.limit(50).select("keyword", rounded("influence", 4).alias("influence"))
+    return ranked.select("keyword", rounded("influence", 4).alias("influence"))
 
 
 @register(

@@ -34,7 +34,25 @@ def s6_streaming_collection(spark, sf_dir):
     )
     base = scratch.scratch_path(spark, "collect")
     collect_texts(incoming, f"{base}/store", f"{base}/first").awaitTermination()
-    return collected(spark, f"{base}/store").drop("batch")
+    return collected(spark, f"{base}/store").drop("run", "batch")
+
+
+@register(
+    "s6_collection_of_two_runs",
+    f"""SELECT concat('https://www.example.com/posts/', CAST(doc_id AS VARCHAR)) AS post_url,
+      trim(text, {_BLANKS}) AS post_text FROM documents WHERE trim(text, {_BLANKS}) <> ''""",
+)
+def s6_collection_of_two_runs(spark, sf_dir):
+    """Two streams with checkpoints of their own fill one store; texts both bring are stored once."""
+    incoming = _document_stream(spark, sf_dir).select(
+        F.concat(F.lit(f"https://{standins.HOST}/posts/"), F.col("doc_id").cast("string")).alias("post_url"),
+        F.col("text").alias("post_text"), (F.col("doc_id") % 3).alias("part"),
+    )
+    base = scratch.scratch_path(spark, "collect")
+    for run, part in (("first", F.col("part") < 2), ("second", F.col("part") > 0)):
+        texts = incoming.where(part).drop("part")
+        collect_texts(texts, f"{base}/store", f"{base}/{run}").awaitTermination()
+    return collected(spark, f"{base}/store").drop("run", "batch")
 
 
 @register("m13_streaming_scores", "SELECT doc_id AS post_id, true AS same FROM documents")

@@ -27,7 +27,7 @@ def keyword_influence(df: DataFrame, text: str = "post_text", label: str = LABEL
     rows = relational.engaged(df, text, label).select(text, label)
     vectorizer = TfidfVectorizer(inputCol=text, outputCol="tfidf", size=size).fit(rows)
     terms = tfidf_terms(vectorizer)
-    model = RidgeRegression(featuresCol="tfidf", labelCol=label, alpha=alpha).fit(vectorizer.transform(rows))
+    model = RidgeRegression(featuresCol="tfidf", labelCol=label, alpha=alpha, solver="l-bfgs").fit(vectorizer.transform(rows))
     return _weight_table(df.sparkSession, terms, ridge_weights(model, len(terms)))
 
 
@@ -35,7 +35,7 @@ def fit_text_model(df: DataFrame, text: str = "post_text", label: str = LABEL, a
                    size: int = features.VOCABULARY_SIZE) -> PipelineModel:
     """TF-IDF and scaled numbers into a ridge model, on posts with a text."""
     rows = relational.drop_missing(df, text, label)
-    stages = [*text_features(text=text, size=size), RidgeRegression(labelCol=label, alpha=alpha)]
+    stages = [*text_features(text=text, size=size), RidgeRegression(labelCol=label, alpha=alpha, solver="l-bfgs")]
     return Pipeline(stages=stages).fit(rows)
 
 

@@ -10,16 +10,26 @@ from pyspark.sql import functions as F
 # The post host, the date formats read, the post types known.
 POST_HOST = "linkedin.com"
 DATE_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S][XXX]",
     "yyyy-MM-dd HH:mm",
     "yyyy-MM-dd",
     "yyyy/M/d",
     "M/d/yyyy H:mm",
+    "M/d/yyyy h:mm a",
     "M/d/yyyy",
+    "M/d/yy",
+    "d/M/yyyy",
+    "M.d.yyyy",
+    "d.M.yyyy",
     "MMM d, yyyy",
+    "MMM d, yyyy H:mm",
+    "MMM d, yyyy h:mm a",
     "MMMM d, yyyy",
+    "MMMM d, yyyy h:mm a",
     "d MMM yyyy",
+    "d MMMM yyyy",
+    "d-MMM-yyyy",
 )
 TIME_FORMATS = ("h a", "ha")
 POST_TYPES = ("Text", "Image", "Video", "Poll", "Link", "Article", "Document")
@@ -33,8 +43,14 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
-def parse_int(c: Column) -> Column:
-    """Whole number in a messy cell; anything unreadable or null is 0."""
+def parse_int(c: Column, ctype: Column | None = None) -> Column:
+    """Whole number in a messy cell; anything unreadable or null is 0.
+
+    With ``ctype``, the kind of the cell, a boolean cell counts as 1 or 0.
+    """
+    if ctype is not None:
+        truth = (ctype == "boolean") & (F.lower(c.cast("string")) == "true")
+        c = F.when(truth, F.lit("1")).otherwise(c.cast("string"))
     text = strip(F.replace(c.cast("string"), F.lit(","), F.lit("")))
     text = F.regexp_replace(text, r"(?<=\d)_(?=\d)", "")
     text = F.when(text.rlike(NUMBER), text)

@@ -33,8 +33,6 @@ from resonance.functions import scalars as S
 from resonance.functions.text import ENGLISH_STOP_WORDS, terms_sql, tokens_sql
 from resonance.operators import features
 
-NORMAL_SOLVER_LIMIT = 4096
-
 
 class PopulationScaler(Estimator, HasInputCols, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """Standard scores over the population deviation, as one vector; nulls count as 0."""
@@ -189,17 +187,19 @@ class RidgeRegression(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol,
     """Least squares with penalty ``alpha * |w|^2`` on the sum of squares; free intercept.
 
     Spark scales its penalty by the label's deviation and the row count, both of
-    the training rows, so its parameter is set at fitting time. Up to 4096
-    features the normal equations are solved: one pass that aggregates a
-    features-by-features matrix.
+    the training rows, so its parameter is set at fitting time. ``solver`` is
+    ``normal`` (one pass that aggregates a features-by-features matrix, solved on
+    the driver: for a few hundred features) or ``l-bfgs`` (many light passes).
     """
 
     alpha = Param(Params._dummy(), "alpha", "penalty on the squared weights", TypeConverters.toFloat)
+    solver = Param(Params._dummy(), "solver", "normal or l-bfgs", TypeConverters.toString)
 
     @keyword_only
-    def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction", alpha=1.0):
+    def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction", alpha=1.0,
+                 solver="normal"):
         super().__init__()
-        self._setDefault(alpha=1.0)
+        self._setDefault(alpha=1.0, solver="normal")
         self._set(**self._input_kwargs)
 
     def getAlpha(self) -> float:
@@ -216,7 +216,7 @@ class RidgeRegression(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol,
         # A constant feature has weight 0; left in, it makes the equations singular.
         varying = [i for i, v in enumerate(stats["variance"]) if v > 0]
         constant = len(varying) < len(stats["variance"])
-        solver = "normal" if len(varying) <= NORMAL_SOLVER_LIMIT else "l-bfgs"
+        solver = self.getOrDefault("solver")
         deviation = (stats["population"] if solver == "normal" else stats["sample"]) or 0.0
         inner = LinearRegression(
             featuresCol="_varying" if constant else vector,
@@ -226,8 +226,8 @@ class RidgeRegression(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol,
             elasticNetParam=0.0,
             standardization=False,
             solver=solver,
-            maxIter=1000,
-            tol=1e-12,
+            maxIter=300,
+            tol=1e-10,
         )
         if not constant:
             return inner.fit(dataset)

@@ -97,7 +97,8 @@ def kde(df: DataFrame, c: str, gridsize: int = 200, bins: int = 30) -> DataFrame
 
     Equal values are counted first, so each distinct value meets the grid once;
     the partial sums per grid point are formed before the shuffle, which then
-    moves ``gridsize`` rows per task.
+    moves ``gridsize`` rows per task. A constant column, or one value, has no
+    density: no rows.
     """
     values = df.select(F.col(c).cast("double").alias("v")).where(F.col("v").isNotNull())
     stats = (
@@ -116,7 +117,8 @@ def kde(df: DataFrame, c: str, gridsize: int = 200, bins: int = 30) -> DataFrame
     bin_width = (F.col("s.hi") - F.col("s.lo")) / bins
     kernel = F.exp(-0.5 * F.pow((F.col("x") - F.col("v")) / F.col("h"), 2.0)) / (F.col("h") * F.sqrt(2 * F.pi()))
     return (
-        weights.withColumn("h", bandwidth)
+        weights.where(F.col("s.sd") > 0)
+        .withColumn("h", bandwidth)
         .withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))))
         .withColumn("x", at)
         .withColumn("k", F.col("w") * kernel * bin_width)

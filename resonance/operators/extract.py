@@ -205,7 +205,12 @@ def to_posts(metrics: DataFrame, ampm: bool = False) -> DataFrame:
     def value(key: str) -> Column:
         return F.try_element_at(e, F.lit(key))["value"]
 
-    views = F.when(F.map_contains_key(e, "impressions"), value("impressions")).otherwise(value("views"))
+    def kind(key: str) -> Column:
+        return F.try_element_at(e, F.lit(key))["ctype"]
+
+    counted = F.map_contains_key(e, "impressions")
+    views = F.when(counted, value("impressions")).otherwise(value("views"))
+    views_kind = F.when(counted, kind("impressions")).otherwise(kind("views"))
     # The first time label that has a value decides, whatever its type.
     timed = F.coalesce(*[F.when(F.nullif(value(k), F.lit("")).isNotNull(), F.try_element_at(e, F.lit(k)))
                          for k in TIME_KEYS])
@@ -214,8 +219,8 @@ def to_posts(metrics: DataFrame, ampm: bool = False) -> DataFrame:
         S.first_truthy(*[value(k) for k in URL_KEYS]).alias("post_url"),
         S.first_date(*[value(k) for k in DATE_KEYS]).alias("post_date"),
         timed.alias("_time"),
-        S.parse_int(views).alias("impressions"),
-        *[S.parse_int(value(m)).alias(m) for m in ("reactions", "comments", "reposts", "saves")],
+        S.parse_int(views, views_kind).alias("impressions"),
+        *[S.parse_int(value(m), kind(m)).alias(m) for m in ("reactions", "comments", "reposts", "saves")],
     )
     date = F.col("post_date")
     return dated.select(

@@ -34,15 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table, spread over the cores if it comes in only a few pieces.
+    """The documents table, dealt to as many pieces as the session shuffles into.
 
-    Work on texts is heavy per row, and a file with one row group is one task. A
-    table with more pieces than twice the cores is read as it lies, so large
-    inputs are not shuffled for this.
+    Work on texts is heavy per row, and a file with one row group is one task.
     """
-    docs = table(spark, sf_dir, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() <= 2 * cores else docs
+    pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, sf_dir, "documents").repartition(pieces, "doc_id")
 
 
 def row_count(df: DataFrame) -> Column:

@@ -40,7 +40,7 @@ def text_model(posts: DataFrame, key: str = "post_id", text: str = "post_text",
     """TF-IDF of the text and numbers into ridge."""
     rows = relational.drop_missing(tables.require_columns(posts, text), text, LABEL)
     train, test = _train_test(rows.select(key, text, *names, LABEL), key)
-    stages = [*models.text_features(names, text), RidgeRegression(labelCol=LABEL)]
+    stages = [*models.text_features(names, text), RidgeRegression(labelCol=LABEL, solver="l-bfgs")]
     return evaluated(train, test, stages, "TF-IDF + Ridge")
 
 

@@ -30,18 +30,19 @@ BATCH_ROWS = 10_000
 
 
 def read_sheet_cells(
-    spark: SparkSession, folder: str, pattern: str = FILE_PATTERN, sheet: str = SHEET
+    spark: SparkSession, folder: str, pattern: str = FILE_PATTERN, sheet: str = SHEET, recursive: bool = False
 ) -> DataFrame:
     """Cells of one sheet per workbook: ``file, row, col, value, ctype, error``.
 
     The named sheet is read, or the first one where a workbook has none of that
     name. A file that cannot be read gives a single row with ``error`` set; an
-    empty sheet counts as unreadable. See :func:`split_bad_files`.
+    empty sheet counts as unreadable. See :func:`split_bad_files`. Sub-folders
+    are read only with ``recursive``.
     """
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", "true")
+        .option("recursiveFileLookup", str(recursive).lower())
         .load(folder)
         .select("path", "content")
     )

@@ -116,3 +116,11 @@ def test_category_flags(spark):
     assert got == [poll, text, text]
     plain = df.select(features.one_hot(F.col("k")).alias("v")).collect()
     assert plain[1]["v"] == [0.0] * 7
+
+
+def test_a_constant_has_no_density(spark):
+    from resonance.operators import describe
+
+    df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "a double, b double")
+    assert describe.kde(df, "a").count() == 0 and describe.kde(df.limit(1), "b").count() == 0
+    assert describe.kde(df, "b").count() == 200

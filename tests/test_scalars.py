@@ -76,3 +76,22 @@ def test_present_key_counts_even_without_value(spark):
     entries = F.create_map(F.lit("impressions"), F.lit(None).cast("int"), F.lit("views"), F.lit(7))
     assert values(spark, S.first_present(entries, "impressions", "views"), ["x"]) == [None]
     assert values(spark, S.first_present(entries, "reach", "views"), ["x"]) == [7]
+
+
+def test_common_date_spellings(spark):
+    want = {
+        "Dec 25, 2024 10:30 AM": "2024-12-25 10:30:00", "2024-12-25T10:30:00Z": "2024-12-25 10:30:00",
+        "25.12.2024": "2024-12-25 00:00:00", "12/25/24": "2024-12-25 00:00:00", "25/12/2024": "2024-12-25 00:00:00",
+        "2024-12-25 10:30:00.5": "2024-12-25 10:30:00", "25-Dec-2024": "2024-12-25 00:00:00", "12/25/2024 1:05 PM": "2024-12-25 13:05:00",
+        "2024-12-25T10:30:00+02:00": "2024-12-25 08:30:00", "December 25, 2024": "2024-12-25 00:00:00", "25 December 2024": "2024-12-25 00:00:00",
+        "no date": None,
+    }
+    df = spark.createDataFrame([(k,) for k in want], "d string")
+    got = {r["d"]: r["t"] for r in df.select("d", F.date_format(S.first_date(F.col("d")), "yyyy-MM-dd HH:mm:ss").alias("t")).collect()}
+    assert got == want
+
+
+def test_boolean_cells_count(spark):
+    df = spark.createDataFrame([("True", "boolean", 1), ("False", "boolean", 0), ("True", "string", 0), ("7", "number", 7), (None, None, 0)],
+                               "v string, t string, n int")
+    assert all(r["p"] == r["n"] for r in df.select("n", S.parse_int(F.col("v"), F.col("t")).alias("p")).collect())

@@ -1,5 +1,5 @@
 from resonance.sources.tables import TEXT_SCHEMA
-from resonance.streaming.collect import _stored_before, collect_texts, collected
+from resonance.streaming.collect import _stored_elsewhere, collect_texts, collected, run_id
 
 
 def test_collection_resumes_and_survives_replay(spark, tmp_path):
@@ -19,4 +19,10 @@ def test_collection_resumes_and_survives_replay(spark, tmp_path):
     want = [("a", "one"), ("c", "three"), ("c", "two")]
     assert run() == want
     assert run() == want  # nothing new
-    assert _stored_before(spark, store, 1).count() == 1
+    first = run_id(spark, check)
+    assert _stored_elsewhere(spark, store, first, 1).count() == 1
+    # Another checkpoint, which sees all files anew, adds to the store and loses nothing.
+    arrive(("d", "four"))
+    assert run(str(tmp_path / "other")) == sorted([*want, ("d", "four")])
+    assert run_id(spark, str(tmp_path / "other")) != first
+    assert run() == sorted([*want, ("d", "four")])
