@@ -48,9 +48,38 @@ def op3_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(documents(spark, sf_dir), width=3, num=90, den=100)
 
 
+SQL["op3_jaccard_groups"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 90 * (a.n + b.n - i)),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT e.x, r.c FROM r JOIN e ON e.y = r.doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.c) AS component_id
+FROM documents d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY 1, 2"""
+
+
 @query
 def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+    found = vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
+SQL["op4_near_vectors"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0
+    AND len(list_filter(embedding, lambda y: y <> 0)) > 0),
+e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+      WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+r AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT e.x, r.c FROM r JOIN e ON e.y = r.vec_id),
+n AS (SELECT x, count(*) AS n FROM e GROUP BY 1)
+SELECT m.vec_id, coalesce(n.n, 0) AS n_links, min(r.c) AS component_id, m.vec_id = min(r.c) AS kept
+FROM embeddings m JOIN r ON r.vec_id = m.vec_id LEFT JOIN n ON n.x = m.vec_id GROUP BY 1, 2"""
 
 
 @query
