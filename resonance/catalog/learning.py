@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -109,22 +110,60 @@ def m4_ridge_line(spark, sf_dir):
     return fitted.transform(df).select("post_id", rounded("prediction").alias("prediction"))
 
 
-@register(
-    "m3_weekday_stump",
-    f"""WITH {POSTS}, cuts AS (SELECT DISTINCT weekday AS t FROM posts),
+_STUMP = f"""WITH {POSTS}, cuts AS (SELECT DISTINCT weekday AS t FROM posts),
     s AS (SELECT t, sum(CASE WHEN weekday <= t THEN engagement_rate END) AS sl, count(CASE WHEN weekday <= t THEN 1 END) AS nl,
             sum(CASE WHEN weekday > t THEN engagement_rate END) AS sr, count(CASE WHEN weekday > t THEN 1 END) AS nr
           FROM posts CROSS JOIN cuts GROUP BY t),
     best AS (SELECT t, sl / nl AS l, sr / nr AS r FROM s WHERE nl > 0 AND nr > 0
              ORDER BY sl * sl / nl + sr * sr / nr DESC, t LIMIT 1)
-    SELECT post_id, {r('CASE WHEN weekday <= t THEN best.l ELSE best.r END')} AS prediction FROM posts, best""",
-)
-def m3_weekday_stump(spark, sf_dir):
+    SELECT post_id, {r('CASE WHEN weekday <= t THEN best.l ELSE best.r END')} AS prediction FROM posts, best"""
+
+
+def _stump(spark, sf_dir, estimator):
     df = models.assembler(["weekday"]).transform(standins.posts(spark, sf_dir))
-    fitted = models.tree(maxDepth=1).fit(df.select("features", LABEL))
+    fitted = estimator.fit(df.select("features", LABEL))
     return fitted.transform(df).select("post_id", rounded("prediction").alias("prediction"))
 
 
+@register("m3_weekday_stump", _STUMP)
+def m3_weekday_stump(spark, sf_dir):
+    return _stump(spark, sf_dir, models.tree(maxDepth=1))
+
+
+@register("m5_one_tree_forest", _STUMP)
+def m5_one_tree_forest(spark, sf_dir):
+    """A forest of one tree on all rows is that tree."""
+    return _stump(spark, sf_dir, models.forest(numTrees=1, maxDepth=1, maxBins=128, bootstrap=False))
+
+
+@register("m6_one_step_of_boosting", _STUMP)
+def m6_one_step_of_boosting(spark, sf_dir):
+    """The first of boosted trees is fitted to the label itself."""
+    one = models.boosted(maxIter=1, maxDepth=1, maxBins=128, subsamplingRate=1.0, featureSubsetStrategy="all")
+    return _stump(spark, sf_dir, one)
+
+
+@register(
+    "a8_m13_pairs_of_a_line",
+    f"""WITH {POSTS}, m AS (SELECT regr_slope(engagement_rate, impressions) AS a,
+      regr_intercept(engagement_rate, impressions) AS b, min(engagement_rate) AS lo, max(engagement_rate) AS hi FROM posts)
+    SELECT post_id, {r('engagement_rate')} AS actual, {r('a * impressions + b')} AS predicted, {r('lo')} AS low, {r('hi')} AS high
+    FROM posts, m""",
+)
+def a8_m13_pairs_of_a_line(spark, sf_dir):
+    """A saved least-squares bundle scores all posts: actual and predicted values, and the ends of the diagonal."""
+    table = standins.posts(spark, sf_dir)
+    fitted = models.pipeline(models.assembler(["impressions"]), models.linear()).fit(table)
+    path = scratch.scratch_path(spark, "line")
+    bundles.save_bundle(fitted, path)
+    loaded = PipelineModel.load(f"{path}/model")
+    scored = scratch.written(bundles.score(table, loaded).select("post_id", LABEL, "prediction"), "scores")
+    ends = describe.identity_line(scored).select(F.struct("low", "high").alias("e")).scalar()
+    pairs = describe.prediction_pairs(scored, "post_id").withColumn("e", ends)
+    values = {"actual": "actual", "predicted": "predicted", "low": "e.low", "high": "e.high"}
+    return pairs.select("post_id", *[rounded(F.col(c)).alias(n) for n, c in values.items()])
+
+
 @register("m2_m3_baseline_models")
 def m2_m3_baseline_models(spark, sf_dir):
     """Least squares and a depth-5 tree on four features, tested on held-out posts."""

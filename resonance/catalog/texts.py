@@ -89,24 +89,33 @@ def e7_text_embeddings(spark, sf_dir):
                           vector_to_array("embedding").alias("embedding"))
 
 
+@register(
+    "e7_embedding_lengths",
+    f"WITH {TF} SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM tf) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents",
+)
+def e7_embedding_lengths(spark, sf_dir):
+    """The vector of every document has length 1 if the document has a term, else 0."""
+    vectors = features.hashed_embedding(_documents(spark, sf_dir).select("doc_id", "text"), "text")
+    return vectors.select("doc_id", rounded(features.vector_norm("embedding")).alias("norm"))
+
+
 @register(
     "e7_precomputed_embeddings",
     f"""SELECT d.doc_id AS vec_id, e.label, {r('sqrt(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * x)))', 4)}
-      AS norm FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id""",
+      AS norm FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""",
 )
 def e7_precomputed_embeddings(spark, sf_dir):
-    """Documents joined to their stored vectors."""
+    """All documents with their stored vectors; those without one keep a null."""
     vectors = standins.table(spark, sf_dir, "embeddings")
-    docs = _documents(spark, sf_dir).select(F.col("doc_id").alias("vec_id")).join(
-        vectors.select("vec_id", "label"), "vec_id"
-    )
-    out = features.joined_embedding(docs, vectors, "vec_id", "embedding")
-    return out.select("vec_id", "label", rounded(features.vector_norm("embedding"), 4).alias("norm"))
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").alias("vec_id"))
+    out = features.joined_embedding(docs, vectors, "vec_id", "embedding").join(vectors.select("vec_id", "label"), "vec_id", "left")
+    norm = F.when(F.col("embedding").isNotNull(), features.vector_norm("embedding"))
+    return out.select("vec_id", "label", (F.round(norm, 4) + F.lit(0.0)).alias("norm"))
 
 
 @register("e8_word_embeddings")
 def e8_word_embeddings(spark, sf_dir):
-    """Vector of every word of every post text."""
-    with_text = flows.posts_with_text(spark, sf_dir).select("post_id", "post_text").dropna()
-    out = features.word_embeddings(with_text, "post_text")
-    return out.select("post_id", "pos", "word", rounded(features.vector_norm("embedding")).alias("norm"))
+    """Vector of every word of every document."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text").dropna()
+    out = features.word_embeddings(docs, "text", keep=["doc_id"])
+    return out.select("doc_id", "pos", "word", rounded(features.vector_norm("embedding")).alias("norm"))

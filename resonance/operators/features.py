@@ -172,13 +172,14 @@ def joined_embedding(df: DataFrame, vectors: DataFrame, key: str, vector: str, o
 
 
 def word_embeddings(df: DataFrame, text: str, embed: Callable[[DataFrame, str], DataFrame] = hashed_embedding,
-                    ) -> DataFrame:
-    """One row per word of each text with the word's vector in ``embedding``.
+                    keep: Sequence[str] = ("*",)) -> DataFrame:
+    """One row per word of each text with the ``keep`` columns and the word's vector in ``embedding``.
 
+    A kept text is repeated for each of its words: name the columns that are needed.
     Each distinct word is embedded once and joined back. A very common word makes
     one side of that join skewed, which AQE splits.
     """
-    words = exploded(df, ["*"], S.words(F.col(text)), "word", "pos")
+    words = exploded(df, list(keep), S.words(F.col(text)), "word", "pos")
     vectors = embed(words.select("word").distinct(), "word")
     return words.join(vectors, "word")
 
