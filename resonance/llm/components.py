@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from resonance.sources.scratch import shared_folder
+
 #: Each round at least halves the depth of a tree, so this is out of reach.
 MAX_ROUNDS = 60
 
@@ -17,6 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
     null ends and loops are dropped. Only two sums reach the driver in a round. A hot node's neighbours are
     reduced to a minimum before the shuffle and joined back with a join that Spark can split.
     """
+    shared_folder(edges.sparkSession)  # checkpoints go there
     ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     now = ordered.distinct().checkpoint()
     seen = None
