@@ -6,7 +6,6 @@ near copies; personal data is masked, and what is left is packed into sequences
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from resonance.llm import catalog, jaccard, language, lines, packing, pii
 from resonance.llm.support import row_columns
+from resonance.sources.scratch import scratch_path
 
 #: A language surer than this is a decision; less is a rejection, as is a text without letters.
 LEAST_SURE = 0.5
@@ -73,7 +73,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    base = scratch_path(spark, "pipeline")
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{base}/{name}")
