@@ -36,8 +36,8 @@ from resonance.sources.scratch import written
 #: Growth of the annuli.
 RATIO = 1.6
 #: Cells a task gathers before it passes them on, and cells in one range.
-FLUSH = 1_500_000
-RANGE_CELLS = 2_000_000
+FLUSH = 750_000
+RANGE_CELLS = 1_000_000
 #: Sets in a block of a large region.
 BLOCK = 256
 #: Parts of a region below this size are compared directly; pivots of a larger one.

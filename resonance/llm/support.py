@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters handled at once inside a task; keeps numpy's buffers at some 100 MB.
-SLICE_CHARS = 1_500_000
+#: Characters handled at once inside a task; keeps numpy's buffers at some tens of MB.
+SLICE_CHARS = 500_000
 
 
 #: Whether Spark deletes the shuffle files of a query that has ended.
