@@ -147,9 +147,6 @@ class Scorer:
         self.hits: dict[str, dict[str, float]] = {}
 
     def learn(self, tokens: set[str]) -> None:
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-            self.hits.clear()
         for token in filter(self.possible, tokens):
             found: dict[str, float] = {}
             for term, errors in self.trie.matches(token):
@@ -163,6 +160,9 @@ class Scorer:
     def score(self, text: str) -> float:
         lowered = text.lower()
         tokens = set(TOKEN.findall(lowered))
+        if len(self.seen) > REMEMBERED:  # before the missing tokens are told: all of this text's are, then
+            self.seen.clear()
+            self.hits.clear()
         self.learn(tokens - self.seen)
         clear = 1 - self.model.base
         if not self.hits.keys().isdisjoint(tokens):

@@ -78,6 +78,14 @@ def test_context_and_misspelling():
     assert scorer.score("un vequaire") > 0.9 and scorer.score("") == pytest.approx(0.02)
 
 
+def test_a_full_memory_loses_no_match(monkeypatch):
+    monkeypatch.setattr(toxicity, "REMEMBERED", 4)
+    model = toxicity.Model({"moron": 0.95, "worthless": 0.95}, frozenset(), 0.02)
+    scorer = toxicity.Scorer(model)
+    for text in ["you moron", "one two three four", "a moron again", "moron moron", "five six seven worthless", "worthless moron one"]:
+        assert scorer.score(text) == toxicity.Scorer(model).score(text)
+
+
 def test_toxicity_learns_words_and_stems(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
