@@ -90,6 +90,8 @@ class Trie:
                             after.add((i + 1, e + 1))  # another letter instead
                             if i + 1 < n and token[i + 1] == c:
                                 after.add((i + 2, e + 1))  # one letter too many
+                            if e + 2 <= most and i + 2 < n and token[i + 2] == c:
+                                after.add((i + 3, e + 2))  # two letters too many
                 if after:
                     todo.append((child, after))
         node = 0

@@ -69,6 +69,27 @@ def test_automaton_equals_edit_distance():
         assert found == want | ({"cab*": 0} if token.startswith("cab") else {})
 
 
+def test_automaton_finds_edited_terms():
+    r = random.Random(3)
+    terms = list(toxicity.BASE_TERMS)
+    trie = toxicity.Trie()
+    for t in terms:
+        trie.add(t, False)
+    may = toxicity.possible(terms).search
+
+    def edited(token):
+        at = r.randint(0, len(token))
+        return r.choice([token[:at] + r.choice("aeust") + token[at:], token[:at] + token[at + 1:], token[:at] + "x" + token[at + 1:]])
+
+    tokens = ["disguuusting", "worthhhless", "woxxrthless"]
+    for term in terms:
+        tokens += [term, *(edited(term) for _ in range(20)), *(edited(edited(term)) for _ in range(40))]
+        tokens += [term[:at] + 2 * c + term[at:] for at in range(len(term) + 1) for c in (term[at:at + 1] or "z", "q")]
+    for token in tokens:
+        want = {t: d for t in terms if (d := distance(t, token)) <= toxicity.errors_allowed(len(t))}
+        assert dict(trie.matches(token)) == want and (may(token) or not want)
+
+
 def test_context_and_misspelling():
     scorer = toxicity.Scorer(toxicity.Model({"moron": 0.95, "worthless": 0.95, "veq*": 0.99}, frozenset({"oron"}), 0.02))
     plain, quoted = scorer.score("you moron, go away"), scorer.score('they said "moron" and left')
