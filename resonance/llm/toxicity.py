@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -35,9 +36,11 @@ STEM_LENGTHS, STEM_GAIN = range(3, 9), 1.5
 #: Errors allowed by length of an entry, and what a match with errors is worth.
 ERRORS = ((5, 1), (9, 2))
 WORTH = (1.0, 0.5, 0.35)
-#: Context: characters looked at on both sides, and what a quoted or reported term is worth.
+#: Context: characters before a term in which a reporting word counts, and what a quoted or reported term is worth.
 WINDOW, QUOTED_WORTH = 60, 0.6
 QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“", "‘": "’"}
+#: Quotation marks, and the empty lines between paragraphs.
+MARKS = re.compile("[" + "".join({*QUOTES, *QUOTES.values()}) + r"]|\n[^\S\n]*\n")
 REPORTING = re.compile(r"\b(?:said|says|called|wrote|quoted?|term|word|insult)\b[\s:,]*$")
 TOKEN = re.compile(r"[^\W_]+")
 REMEMBERED = 400_000
@@ -169,27 +172,50 @@ class Scorer:
         clear = 1 - self.model.base
         if not self.hits.keys().isdisjoint(tokens):
             best: dict[str, float] = {}
+            quoted = quotations(lowered)
             for m in TOKEN.finditer(lowered):
                 for term, worth in self.hits.get(m.group(), {}).items():
                     if worth > best.get(term, 0.0):
-                        worth *= context_worth(lowered, m.start(), m.end())
+                        worth *= context_worth(lowered, m.start(), m.end(), quoted)
                         best[term] = max(best.get(term, 0.0), worth)
             for worth in best.values():
                 clear *= 1 - worth
         return 1 - clear
 
 
-def context_worth(text: str, start: int, end: int) -> float:
-    """1, or less if the term stands in quotation marks or after a reporting word."""
-    before, after = text[max(0, start - WINDOW): start], text[end: end + WINDOW]
-    for opening, closing in QUOTES.items():
-        at = before.rfind(opening)
-        if at < 0 or closing not in after:
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Spans between paired quotation marks, in order and apart, by one pass over the text.
+
+    A mark that closes an open quotation opens none. A quotation left open ends with its paragraph, unquoted: a
+    stray mark turns no later paragraph inside out.
+    """
+    opened: dict[str, int] = {}
+    spans: list[tuple[int, int]] = []
+    for m in MARKS.finditer(text):
+        mark = m.group()
+        if mark.isspace():
+            opened.clear()
             continue
-        inside = before.count(opening) % 2 == 1 if opening == closing else closing not in before[at:]
-        if inside:
-            return QUOTED_WORTH
-    return QUOTED_WORTH if REPORTING.search(before) else 1.0
+        ended = [o for o in opened if QUOTES[o] == mark]
+        for opening in ended:
+            start = opened.pop(opening)
+            while spans and spans[-1][0] >= start:  # quotations inside this one
+                spans.pop()
+            if not spans or spans[-1][1] <= start:
+                spans.append((start, m.end()))
+            else:  # marks of two kinds that cross
+                spans[-1] = (spans[-1][0], m.end())
+        if not ended and mark in QUOTES:
+            opened.setdefault(mark, m.start())
+    return spans
+
+
+def context_worth(text: str, start: int, end: int, quoted: list[tuple[int, int]]) -> float:
+    """1, or less if the term stands in one of the ``quoted`` spans or after a reporting word."""
+    at = bisect_right(quoted, (start, len(text))) - 1
+    if at >= 0 and end <= quoted[at][1]:
+        return QUOTED_WORTH
+    return QUOTED_WORTH if REPORTING.search(text[max(0, start - WINDOW): start]) else 1.0
 
 
 def term_counts(rows: DataFrame) -> DataFrame:

@@ -99,6 +99,21 @@ def test_context_and_misspelling():
     assert scorer.score("un vequaire") > 0.9 and scorer.score("") == pytest.approx(0.02)
 
 
+def test_quotations_of_any_length():
+    scorer = toxicity.Scorer(toxicity.Model({"moron": 0.95}, frozenset(), 0.02))
+    far = "and so on and on " * 10
+    for a, b in ('""', "“”", "«»", "„“", "‘’"):
+        assert scorer.score(f"he spoke: {a}{far}moron {far}{b} and left") < 0.7
+        assert scorer.score(f"{a}{far}{b} you moron {a}yes{b}") > 0.9
+        assert scorer.score(f"{a}yes{b} you moron {a}{far}{b}") > 0.9
+        assert scorer.score(f"{a}yes{b} {far} {a}a moron{b}") < 0.7
+    assert scorer.score("„ja“ you moron “yes”") > 0.9
+    assert scorer.score(f'a 5" screen\n\nyou moron "yes" {far}') > 0.9
+    assert scorer.score(f'a 5" screen\n\n"you moron" {far}') < 0.7
+    assert toxicity.quotations('“a "b" c” "d „e“ f') == [(0, 9), (13, 16)]
+    assert toxicity.quotations('“a "b” c"') == [(0, 9)]
+
+
 def test_a_full_memory_loses_no_match(monkeypatch):
     monkeypatch.setattr(toxicity, "REMEMBERED", 4)
     model = toxicity.Model({"moron": 0.95, "worthless": 0.95}, frozenset(), 0.02)
