@@ -222,6 +222,20 @@ def r12_words_with_post_attributes(spark, sf_dir):
     return features.exploded(posts, ["post_id", "impressions", "weekday"], S.words(F.col("post_text")), "word", "pos")
 
 
+@register(
+    "r12_all_words_with_post_attributes",
+    rf"""WITH {POSTS},
+    w AS (SELECT doc_id, impressions, weekday, regexp_extract_all(text, '[^\s\x0b\x85\p{{Z}}]+') AS ws
+      FROM documents LEFT JOIN posts ON post_id = doc_id)
+    SELECT doc_id, impressions, weekday, CAST(unnest(range(len(ws))) AS INTEGER) AS pos, unnest(ws) AS word FROM w""",
+)
+def r12_all_words_with_post_attributes(spark, sf_dir):
+    """Every word of every document, labelled or not; a document without a post keeps nulls."""
+    posts = standins.posts(spark, sf_dir).select(F.col("post_id").alias("doc_id"), "impressions", "weekday")
+    docs = standins.documents(spark, sf_dir).select("doc_id", "text").join(posts, "doc_id", "left")
+    return features.exploded(docs, ["doc_id", "impressions", "weekday"], S.words(F.col("text")), "word", "pos")
+
+
 @register(
     "s10_preview",
     f"WITH {POSTS} SELECT post_id, post_url, impressions FROM posts ORDER BY post_id LIMIT 5",

@@ -9,7 +9,7 @@ from resonance.catalog.common import POSTS, TYPED, r, register, rounded
 from resonance.functions import scalars as S
 from resonance.functions.text import ENGLISH_STOP_WORDS
 from resonance.operators import features
-from resonance.plans import flows, standins
+from resonance.plans import standins
 
 _STOPS = ", ".join(f"'{w}'" for w in ENGLISH_STOP_WORDS)
 # Words and word pairs of every document.
@@ -82,10 +82,9 @@ def e2_one_hot_post_type(spark, sf_dir):
 
 @register("e7_text_embeddings")
 def e7_text_embeddings(spark, sf_dir):
-    """Vector of every post text, with its length (0 for a text without terms)."""
-    with_text = flows.posts_with_text(spark, sf_dir).select("post_id", "post_text")
-    vectors = features.hashed_embedding(with_text, "post_text")
-    return vectors.select("post_id", rounded(features.vector_norm("embedding")).alias("norm"),
+    """Vector of every document, with its length (0 for a text without terms)."""
+    vectors = features.hashed_embedding(_documents(spark, sf_dir).select("doc_id", "text"), "text")
+    return vectors.select("doc_id", rounded(features.vector_norm("embedding")).alias("norm"),
                           vector_to_array("embedding").alias("embedding"))
 
 

@@ -124,3 +124,18 @@ def test_a_constant_has_no_density(spark):
     df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "a double, b double")
     assert describe.kde(df, "a").count() == 0 and describe.kde(df.limit(1), "b").count() == 0
     assert describe.kde(df, "b").count() == 200
+
+
+def test_vectors_and_words_of_documents_without_a_label(spark, sf):
+    from __spark_entry__ import queries
+    from resonance.plans import standins
+
+    labelled = standins.table(spark, sf, "labels").select("doc_id")
+    rest = standins.table(spark, sf, "documents").join(labelled, "doc_id", "left_anti")
+    with_words = {r["doc_id"] for r in rest.where(F.col("text").rlike(r"[^\s]")).select("doc_id").collect()}
+    vectors = queries()["e7_text_embeddings"](spark, sf).join(rest.select("doc_id"), "doc_id").collect()
+    lengths = {r["doc_id"]: r["norm"] for r in queries()["e7_embedding_lengths"](spark, sf).collect()}
+    assert len(vectors) == rest.count() > 50 and any(r["norm"] for r in vectors)
+    assert all(len(r["embedding"]) == 384 and r["norm"] == lengths[r["doc_id"]] for r in vectors)
+    words = queries()["r12_all_words_with_post_attributes"](spark, sf).join(rest.select("doc_id"), "doc_id")
+    assert {r["doc_id"] for r in words.select("doc_id").distinct().collect()} == with_words
