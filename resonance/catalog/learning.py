@@ -185,25 +185,15 @@ def m4_embedding_ridge_model(spark, sf_dir):
     return training.embedding_model(flows.posts_with_text(spark, sf_dir))
 
 
-#: Settings of tuning.GRIDS searched by the registered queries: ridge in full, of the others those that a local
-#: session fits in minutes. README says so.
-SEARCHED = {
-    "Ridge": tuning.GRIDS["Ridge"],
-    "RandomForest": {"numTrees": [100], "maxDepth": [5]},
-    "BoostedTrees": {"stepSize": [0.1], "maxDepth": [3], "maxIter": [100]},
-    "Perceptron": {"hidden": [[64]], "alpha": [0.0001]},
-}
-
-
 _boards: dict = {}
 
 
 def _board(spark, sf_dir, name):
-    """The search of one kind of model, run once for each folder of tables in a session and stored."""
+    """The whole grid of one kind of model, searched once for each folder of tables in a session and stored."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _boards:
         table = training.tuning_table(flows.posts_with_text(spark, sf_dir))
-        found = training.compare_models(table, {name: SEARCHED[name]}, parallelism=tuning.FOLDS)
+        found = training.compare_models(table, {name: tuning.GRIDS[name]}, parallelism=tuning.FOLDS)
         _boards[key] = scratch.written(found, "board")
     return _boards[key]
 
@@ -266,7 +256,7 @@ def m8_m12_ridge_search_on_one_number(spark, sf_dir):
 @register("m12_leaderboard")
 def m12_leaderboard(spark, sf_dir):
     """All four kinds of model by cross-validated R2, best first."""
-    boards = [_board(spark, sf_dir, name) for name in SEARCHED]
+    boards = [_board(spark, sf_dir, name) for name in tuning.GRIDS]
     return _shown(reduce(DataFrame.unionByName, boards)).orderBy(F.col("r2").desc(), "model")
 
 

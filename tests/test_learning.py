@@ -132,3 +132,25 @@ def test_vector_of_another_width_is_an_error(spark):
     df = spark.createDataFrame([(Vectors.dense([1.0, 2.0]),)], ["v"])
     with pytest.raises(Exception, match="VectorSizeHint|size"):
         models.size_guard("v", 3).transform(df).collect()
+
+
+def test_registered_searches_try_every_setting(spark, monkeypatch):
+    from resonance.catalog import learning
+    from resonance.catalog.common import QUERIES
+
+    searched = {}
+
+    def compare(table, grids, parallelism):
+        searched.update(grids)
+        rows = [(name, {"k": "v"}, 0.5, 0.1, 0.2) for name in grids]
+        return spark.createDataFrame(rows, "model string, best_params map<string,string>, r2 double, mae double, rmse double")
+
+    monkeypatch.setattr(learning, "_boards", {})
+    monkeypatch.setattr(learning.flows, "posts_with_text", lambda *_: None)
+    monkeypatch.setattr(learning.training, "tuning_table", lambda *_: None)
+    monkeypatch.setattr(learning.training, "compare_models", compare)
+    for name, kind in (("m5_forest_search", "RandomForest"), ("m6_boosted_search", "BoostedTrees"), ("m7_perceptron_search", "Perceptron")):
+        searched.clear()
+        assert [r["model"] for r in QUERIES[name](spark, "none").collect()] == [kind]
+        assert searched == {kind: learning.tuning.GRIDS[kind]}
+    assert {r["model"] for r in learning.m12_leaderboard(spark, "none").collect()} == set(learning.tuning.GRIDS)
