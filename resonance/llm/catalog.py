@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resonance.llm import attribution, bpe, fingerprint, jaccard, language, lines, packing, pii, toxicity, vectors
+from resonance.llm import (
+    attribution,
+    bpe,
+    fingerprint,
+    jaccard,
+    language,
+    lines,
+    packing,
+    pii,
+    toxicity,
+    tries,
+    vectors,
+    warc,
+    whitening,
+)
 from resonance.llm.support import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +153,60 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     coded = bpe.encode_decode(docs, tokenizer("byte_bpe_50k.json"))
     return coded.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query
+def op11_whitened_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_archived_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+SQL["op12_archived_pages"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS m FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN m IS NULL OR m IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN m IS DISTINCT FROM page_id THEN m END AS refers_to
+FROM p LEFT JOIN f ON f.d = p.d"""
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+# CRC-32 of a text's bytes, bit by bit.
+_CRC = """xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT),
+  lambda a, b: list_reduce([xor(a, b)] || range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)),
+  4294967295)"""
+
+SQL["op13_conversation_trie"] = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {_CRC} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+b AS (
+  SELECT c.conv_id, 0 AS part, i, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND i <= h
+  UNION ALL SELECT c.conv_id, 1, i, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND i > h),
+r AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, i) AS d,
+    md5(length(role) || ':' || role || text) AS s, strlen(text) AS n FROM b),
+p AS (
+  SELECT conv_id, d, string_agg(s, '') OVER (PARTITION BY conv_id ORDER BY d) AS path, n FROM r
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+l AS (SELECT conv_id, max(d) AS len FROM p GROUP BY 1),
+g AS (
+  SELECT path, d AS depth, left(path, 32 * (d - 1)) AS up, min(p.conv_id) AS conv_id, count(*) AS n_convs, max(n) AS n,
+    sha256(coalesce(string_agg(CASE WHEN d = len THEN CAST(p.conv_id AS VARCHAR) END, ',' ORDER BY p.conv_id), '')) AS ends_sha256
+  FROM p JOIN l ON l.conv_id = p.conv_id GROUP BY 1, 2),
+k AS (SELECT up, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY 1),
+f AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN k ON k.up = g.path),
+s AS (
+  SELECT a.path, count(CASE WHEN x.n_children = 0 THEN 1 END) AS n_leaves, CAST(sum((x.n_convs - 1) * x.n) AS BIGINT) AS saved_tokens
+  FROM f a JOIN f x ON starts_with(x.path, a.path) GROUP BY 1)
+SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+FROM f JOIN s ON s.path = f.path LEFT JOIN f u ON f.depth > 0 AND u.path = f.up"""
