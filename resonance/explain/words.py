@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import VectorAssembler, VectorSizeHint
+from pyspark.ml.regression import DecisionTreeRegressionModel, GBTRegressionModel, RandomForestRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from resonance.explain.leafsets import LeafSets, joint_score, with_masks
 from resonance.functions import scalars as S
 from resonance.learning.models import LABEL, text_features
 from resonance.learning.stages import RidgeRegression, TfidfVectorizer, ridge_weights, tfidf_terms
 from resonance.operators import features, relational
+from resonance.sources import tables
 from resonance.sources.scratch import written
 from resonance.sources.tables import KEYWORD_SCHEMA
 
 FEWEST_WORDS = 3
+TREE_MODELS = (DecisionTreeRegressionModel, RandomForestRegressionModel, GBTRegressionModel)
 
 
 def _weight_table(spark, terms: list[str], weights: list[float]) -> DataFrame:
@@ -27,7 +32,7 @@ def keyword_influence(df: DataFrame, text: str = "post_text", label: str = LABEL
     rows = relational.engaged(df, text, label).select(text, label)
     vectorizer = TfidfVectorizer(inputCol=text, outputCol="tfidf", size=size).fit(rows)
     terms = tfidf_terms(vectorizer)
-    model = RidgeRegression(featuresCol="tfidf", labelCol=label, alpha=alpha, solver="l-bfgs").fit(vectorizer.transform(rows))
+    model = RidgeRegression(featuresCol="tfidf", labelCol=label, alpha=alpha, solver="gram").fit(vectorizer.transform(rows))
     return _weight_table(df.sparkSession, terms, ridge_weights(model, len(terms)))
 
 
@@ -35,7 +40,7 @@ def fit_text_model(df: DataFrame, text: str = "post_text", label: str = LABEL, a
                    size: int = features.VOCABULARY_SIZE) -> PipelineModel:
     """TF-IDF and scaled numbers into a ridge model, on posts with a text."""
     rows = relational.drop_missing(df, text, label)
-    stages = [*text_features(text=text, size=size), RidgeRegression(labelCol=label, alpha=alpha, solver="l-bfgs")]
+    stages = [*text_features(text=text, size=size), RidgeRegression(labelCol=label, alpha=alpha, solver="gram")]
     return Pipeline(stages=stages).fit(rows)
 
 
@@ -48,13 +53,54 @@ def text_model_keywords(model: PipelineModel, spark, k: int = 20) -> DataFrame:
 
 
 def word_scores(df: DataFrame, bundle: PipelineModel, key: str = "post_id", text: str = "post_text") -> DataFrame:
-    """Score of each word standing alone for its post's text, all other columns unchanged."""
+    """``key, pos, word, score``: score of each word standing alone for its post's text, all other columns unchanged."""
     words = S.words(F.col(text))
     long_enough = df.where(S.not_blank(F.col(text)) & (F.size(words) >= FEWEST_WORDS))
+    where = _text_columns(bundle)
+    if where is not None and isinstance(bundle.stages[-1], TREE_MODELS):
+        return _scores_by_leaf_sets(long_enough, bundle, key, text, where)
     each = features.exploded(long_enough, ["*"], words, "word", "pos").withColumn(text, F.col("word"))
     return bundle.transform(each).select(key, "pos", "word", F.col("prediction").alias("score"))
 
 
+def _text_columns(bundle: PipelineModel) -> tuple[int, range] | None:
+    """Where the text vector, the last block of the assembled features, lies; none if the bundle does not say."""
+    blocks = [s for s in bundle.stages if isinstance(s, VectorAssembler)]
+    sizes = {s.getInputCol(): s.getSize() for s in bundle.stages if isinstance(s, VectorSizeHint)}
+    if not blocks or not set(blocks[-1].getInputCols()) <= set(sizes):
+        return None
+    widths = [sizes[c] for c in blocks[-1].getInputCols()]
+    return sum(widths[:-1]), range(sum(widths[:-1]), sum(widths))
+
+
+def _scores_by_leaf_sets(posts: DataFrame, bundle: PipelineModel, key: str, text: str, where: tuple[int, range]) -> DataFrame:
+    """Word scores of a tree model. Posts and distinct words each get their masks; only their pairs meet.
+
+    A word is embedded once, wherever it stands. Words that rule out the same leaves are one, so a pair of post and mask
+    is scored once, and the masks travel to pairs, not to occurrences. Posts of one key are taken to be one post.
+    """
+    tabular, text_part = where
+    before, model = PipelineModel(bundle.stages[:-1]), bundle.stages[-1]
+    sets = posts.sparkSession.sparkContext.broadcast(LeafSets(posts.sparkSession, model))  # the model
+    ready = tables.ensure_column(posts, "post_type", "Text")
+    occurrences = written(features.exploded(posts, [key], S.words(F.col(text)), "word", "pos").select(key, "pos", "word"), "words")
+
+    # The stages read all their columns; those of a word's post do not matter here.
+    others = {f.name: F.lit(None).cast(f.dataType) for f in ready.schema if f.name != text}
+    distinct = occurrences.select("word").distinct().withColumns({**others, text: F.col("word")})
+    masks = with_masks(before.transform(distinct), ["word"], sets, text_part).withColumnRenamed("mask", "word_mask")
+    same = F.struct(F.xxhash64("word_mask").alias("a"), F.xxhash64(F.lit(1), "word_mask").alias("b"))
+    masks = written(masks.withColumn("same", same), "word-masks")
+    kinds = masks.groupBy("same").agg(F.min("word_mask").alias("word_mask"))
+    blank = before.transform(ready.withColumn(text, F.lit("")))
+    post_masks = with_masks(blank, [key], sets, range(tabular)).dropDuplicates([key])
+
+    named = occurrences.join(masks.select("word", "same"), "word")
+    pairs = named.select(key, "same").distinct().join(post_masks, key).join(kinds, "same")
+    scored = written(pairs.select(key, "same", joint_score(sets).alias("score")), "pair-scores")
+    return named.join(scored, [key, "same"]).select(key, "pos", "word", "score")
+
+
 def word_influence(df: DataFrame, bundle: PipelineModel, key: str = "post_id", text: str = "post_text") -> DataFrame:
     """``key, pos, word, contribution, opacity, colour`` for every word of every post.
 

@@ -13,6 +13,7 @@ from pyspark.ml.feature import (
     StandardScaler,
     VectorSlicer,
 )
+from pyspark.ml.common import _py2java
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -24,13 +25,15 @@ from pyspark.ml.param.shared import (
     HasOutputCol,
     HasPredictionCol,
 )
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable, Identifiable
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from resonance.functions import scalars as S
 from resonance.functions.text import ENGLISH_STOP_WORDS, terms_sql, tokens_sql
+from resonance.learning import gram
 from resonance.operators import features
 
 
@@ -188,12 +191,13 @@ class RidgeRegression(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol,
 
     Spark scales its penalty by the label's deviation and the row count, both of
     the training rows, so its parameter is set at fitting time. ``solver`` is
-    ``normal`` (one pass that aggregates a features-by-features matrix, solved on
-    the driver: for a few hundred features) or ``l-bfgs`` (many light passes).
+    ``normal`` (Spark's one pass and solve on the driver: for a few hundred features),
+    ``gram`` (two passes, see :mod:`gram`: for a few thousand, sparse ones too) or
+    ``l-bfgs`` (many light passes, for more).
     """
 
     alpha = Param(Params._dummy(), "alpha", "penalty on the squared weights", TypeConverters.toFloat)
-    solver = Param(Params._dummy(), "solver", "normal or l-bfgs", TypeConverters.toString)
+    solver = Param(Params._dummy(), "solver", "normal, gram or l-bfgs", TypeConverters.toString)
 
     @keyword_only
     def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction", alpha=1.0,
@@ -207,6 +211,10 @@ class RidgeRegression(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol,
 
     def _fit(self, dataset):
         label, vector = self.getLabelCol(), self.getFeaturesCol()
+        if self.getOrDefault("solver") == "gram":
+            (whole,) = gram.moments(dataset, vector, label).values()
+            line = gram.ridge(whole, [self.getAlpha()])
+            return linear_model(dataset.sparkSession, line.weights[:, 0], line.offsets[0], vector, self.getPredictionCol())
         stats = dataset.select(
             F.count(label).alias("n"),
             F.stddev_pop(label).alias("population"),
@@ -235,6 +243,16 @@ class RidgeRegression(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol,
         return PipelineModel([slicer, inner.fit(slicer.transform(dataset)), drop_stage("_varying")])
 
 
+def linear_model(spark: SparkSession, weights, offset: float, features: str, prediction: str) -> LinearRegressionModel:
+    """Spark's own linear model with given weights: it predicts in the JVM and is saved like any other."""
+    context = spark.sparkContext
+    java = context._jvm.org.apache.spark.ml.regression.LinearRegressionModel(
+        Identifiable().uid, _py2java(context, Vectors.dense(weights)), float(offset))
+    model = LinearRegressionModel(java)
+    model._resetUid(java.uid())
+    return model.setFeaturesCol(features).setPredictionCol(prediction)
+
+
 def ridge_weights(model, size: int) -> list[float]:
     """Weight of each of the ``size`` features of a fitted :class:`RidgeRegression`."""
     if not isinstance(model, PipelineModel):

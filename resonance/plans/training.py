@@ -40,7 +40,7 @@ def text_model(posts: DataFrame, key: str = "post_id", text: str = "post_text",
     """TF-IDF of the text and numbers into ridge."""
     rows = relational.drop_missing(tables.require_columns(posts, text), text, LABEL)
     train, test = _train_test(rows.select(key, text, *names, LABEL), key)
-    stages = [*models.text_features(names, text), RidgeRegression(labelCol=LABEL, solver="l-bfgs")]
+    stages = [*models.text_features(names, text), RidgeRegression(labelCol=LABEL, solver="gram")]
     return evaluated(train, test, stages, "TF-IDF + Ridge")
 
 
@@ -68,7 +68,7 @@ def compare_models(table: DataFrame, grids: dict | None = None, parallelism: int
     cached = table.persist()
     try:
         results = [
-            tuning.grid_search(cached, name, grid, parallelism=parallelism)
+            tuning.grid_search(cached, name, grid, parallelism=parallelism, refit=False)
             for name, grid in (grids or tuning.GRIDS).items()
         ]
     finally:
