@@ -55,7 +55,7 @@ def attribute(docs: DataFrame, vocabulary: Vocabulary, rule: str = "first", sect
     ``sections`` gives the ascending starts of a text's sections, the first of them 0. ``n_tokens`` sums to
     ``doc_tokens`` over a document; ``n_crossing`` counts tokens that lie in this section and another. A token
     that holds only later bytes of a character lies where that character lies. Null texts count as empty: one
-    section without tokens. Repeated rows and null keys are kept as they are.
+    section without tokens. Repeated rows and null keys are kept as they are; an empty table gives no row.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
@@ -86,6 +86,8 @@ def attribute(docs: DataFrame, vocabulary: Vocabulary, rule: str = "first", sect
                     out[name] = np.concatenate(values)
                 yield pd.DataFrame(out | {"doc_tokens": np.repeat(counts, n)})
 
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    schema = f"k {kind}, section long, start long, length long, n_tokens long, n_crossing long, doc_tokens long"
-    return rows.mapInPandas(run, schema).withColumnRenamed("k", key)
+    # Keys travel as text: a column of numbers and nulls would be rounded on its way.
+    rows = docs.select(F.col(key).cast("string").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    schema = f"k string, section long, start long, length long, n_tokens long, n_crossing long, doc_tokens long"
+    found = rows.mapInPandas(run, schema)
+    return found.select(F.col("k").cast(kind).alias(key), *found.columns[1:])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from resonance.sources.scratch import shared_folder
 
-#: Each round at least halves the depth of a tree, so this is out of reach.
+#: Each round at least halves the depth of a tree, so this is out of reach; beyond it is an error.
 MAX_ROUNDS = 60
 
 
@@ -36,5 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen:
             break
         seen = state
+    else:
+        raise RuntimeError(f"components are not complete after {MAX_ROUNDS} rounds")
     roots = now.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

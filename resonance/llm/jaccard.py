@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from resonance.llm.components import components
 from resonance.llm.shingles import shingle_sets
-from resonance.llm.support import mixed, ragged, shuffles_dropped, slices
+from resonance.llm.support import judged, mixed, ragged, shuffles_dropped, slices
 from resonance.sources.scratch import written
 
 #: Growth of the annuli.
@@ -115,17 +115,17 @@ def of_texts(batches: Iterator[pd.DataFrame], width: int) -> Iterator[tuple[pd.D
 
 
 def set_rows(docs: DataFrame, width: int, rule: Rule) -> DataFrame:
-    """Of each row: set size, the set's two hashes, number of cells."""
+    """Of each row: set size, the set's two hashes, number of cells. Keys do not go to Python."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch, sets in of_texts(batches, width):
-            names = [identity(s) for s in sets]
-            n = [len(s) for s in sets]
-            m = [sum(rule.cuts[c][0] for c in rule.annuli(x)) if x else 0 for x in n]
-            yield pd.DataFrame({"k": batch["k"], "n": n, "s1": [x for x, _ in names], "s2": [y for _, y in names], "m": m})
+    def judge(texts: list[str]) -> dict:
+        found: dict[str, list] = {"n": [], "s1": [], "s2": [], "m": []}
+        for a, b in slices(texts):
+            for s in shingle_sets(texts[a:b], width):
+                for name, value in zip(found, (len(s), *identity(s), sum(rule.cuts[c][0] for c in rule.annuli(len(s))) if len(s) else 0)):
+                    found[name].append(value)
+        return {name: np.array(values, np.int64) for name, values in found.items()}
 
-    kind = docs.schema["k"].dataType.simpleString()
-    return docs.mapInPandas(run, f"k {kind}, n long, s1 long, s2 long, m long")
+    return judged(docs, F.col("t"), judge, "n long, s1 long, s2 long, m long").select("row.k", "out.*")
 
 
 def shared_cells(docs: DataFrame, width: int, rule: Rule, ranges: int) -> DataFrame:

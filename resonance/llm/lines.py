@@ -1,8 +1,8 @@
 """Boilerplate lines by their spread over sites, in DataFrame functions only.
 
-A line's spread is the number of distinct sites that show it. Lines of one site leave first, by the least and
-greatest site. The others get a HyperLogLog sketch per line hash, merged by aggregation; where the estimate is
-near the threshold, distinct sites are counted exactly. A hot line or site is reduced where it is read.
+A line's spread is the number of distinct sites that show it. Each line hash gets a HyperLogLog sketch, merged by
+aggregation; lines of one site leave by their least and greatest site, and where the estimate is near the threshold,
+distinct sites are counted exactly. A hot line or site is reduced where it is read.
 """
 
 from __future__ import annotations
@@ -32,20 +32,23 @@ def line_rows(docs: DataFrame, key: str, text: str, site: str) -> DataFrame:
 
 
 def boilerplate(rows: DataFrame, min_sites: int) -> DataFrame:
-    """``h1, h2, first``: lines on ``min_sites`` sites or more, and the first place of each."""
-    spread = rows.groupBy("h1", "h2").agg(F.min("site").alias("low"), F.max("site").alias("high"))
-    several = spread.where("low < high").select("h1", "h2")
-    shown = rows.join(several, ["h1", "h2"], "left_semi") if min_sites > 1 else rows
-    sketched = written(
-        shown.groupBy("h1", "h2").agg(
-            F.hll_sketch_agg("site", F.lit(SKETCH_BITS)).alias("sketch"), F.min(F.struct("k", "pos", "t")).alias("first")
-        ).select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("about")),
-        "line-spread",
+    """``h1, h2, first``: lines on ``min_sites`` sites or more, and the first place of each.
+
+    Rows of a line are summed up in their task, as sketch, least and greatest site, before they move; where the estimate
+    is near the threshold, (line, site) pairs are made distinct first and then counted. So a line that very many rows
+    share costs a row for each task, or for each task and site.
+    """
+    spread = rows.groupBy("h1", "h2").agg(
+        F.hll_sketch_agg("site", F.lit(SKETCH_BITS)).alias("sketch"), F.min("site").alias("low"), F.max("site").alias("high"),
+        F.min(F.struct("k", "pos", "t")).alias("first"),
     )
+    several = spread.where("low < high") if min_sites > 1 else spread.where("low is not null")
+    sketched = written(several.select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("about")), "line-spread")
     sure = sketched.where(F.col("about") > min_sites * NEAR)
     near = sketched.where(F.col("about").between(min_sites / NEAR, min_sites * NEAR))
-    sites = rows.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").select("h1", "h2", "site").distinct()
-    enough = sites.groupBy("h1", "h2").agg(F.count("site").alias("n")).where(F.col("n") >= min_sites)
+    sites = rows.where("site is not null").select("h1", "h2", "site").distinct()
+    counted = sites.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count("site").alias("n"))
+    enough = counted.where(F.col("n") >= min_sites)
     return sure.select("h1", "h2", "first").union(
         near.join(enough, ["h1", "h2"]).select("h1", "h2", "first")
     )

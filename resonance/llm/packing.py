@@ -28,6 +28,8 @@ from resonance.llm.support import slices
 CAPACITY = 2048
 #: Documents whose rests are packed together.
 SHARD_ROWS = 4096
+#: Shards that the copies of one row are spread over, in groups of neighbours.
+SALTS = 1024
 #: Cost of a piece: LINEAR per token and QUADRATIC per pair of its tokens.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 
@@ -83,8 +85,10 @@ def pack(docs: DataFrame, vocabulary: Vocabulary, end_id: int = 1, capacity: int
     """One row per piece: ``key, start, length, ids_crc32, doc_tokens, sequence_id, offset`` (and ``ids``).
 
     A document's ids end with ``end_id``. A null text is taken as empty and gives that id alone. Rows with
-    equal or null keys are packed as documents of their own. Other columns are not read. An empty table
-    gives no row.
+    equal or null keys are packed as documents of their own, repeated rows in shards of their own (rows are told apart
+    by their place in the table, which must be the same if it is read again). Of rests of equal length the one with the
+    lesser key (as text) comes first. Other columns are not read. An empty table gives no row. Vocabularies of more than
+    65 536 ids are refused.
     """
     if vocabulary.size > 1 << 16:
         raise ValueError("ids of this vocabulary do not fit 16 bits")
@@ -137,11 +141,12 @@ def pack(docs: DataFrame, vocabulary: Vocabulary, end_id: int = 1, capacity: int
         return pd.DataFrame(out, columns=names)
 
     names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
-    schema = f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    schema = f"`{key}` string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     rows = docs.select(
-        F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(shards)).alias("s"),
-        F.col(key).alias("k"),
+        F.pmod(F.xxhash64(F.col(key), F.col(text), F.monotonically_increasing_id() % SALTS), F.lit(shards)).alias("s"),
+        F.col(key).cast("string").alias("k"),  # a column of numbers and nulls would be rounded on its way
         F.coalesce(F.col(text), F.lit("")).alias("t"),
     )
-    pieces = rows.mapInPandas(cut, f"s long, k {kind}, start long, n long, crc long, piece binary")
-    return pieces.groupBy("s").applyInPandas(shard_pieces, schema + (", ids array<int>" if with_ids else ""))
+    pieces = rows.mapInPandas(cut, f"s long, k string, start long, n long, crc long, piece binary")
+    packed = pieces.groupBy("s").applyInPandas(shard_pieces, schema + (", ids array<int>" if with_ids else ""))
+    return packed.withColumn(key, F.col(f"`{key}`").cast(kind))

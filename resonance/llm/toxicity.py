@@ -40,7 +40,8 @@ WORTH = (1.0, 0.5, 0.35)
 WINDOW, QUOTED_WORTH = 60, 0.6
 QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“", "‘": "’"}
 #: Quotation marks, and the empty lines between paragraphs.
-MARKS = re.compile("[" + "".join({*QUOTES, *QUOTES.values()}) + r"]|\n[^\S\n]*\n")
+#: An apostrophe within a word is no mark.
+MARKS = re.compile("[" + "".join(sorted({*QUOTES, *QUOTES.values()} - {"’"})) + r"]|(?<!\w)’|’(?!\w)|\n[^\S\n]*\n")
 REPORTING = re.compile(r"\b(?:said|says|called|wrote|quoted?|term|word|insult)\b[\s:,]*$")
 TOKEN = re.compile(r"[^\W_]+")
 REMEMBERED = 400_000
@@ -225,7 +226,7 @@ def term_counts(rows: DataFrame) -> DataFrame:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"]):
-                words = {w for w in TOKEN.findall(text.lower()) if len(w) <= 30}
+                words = set(TOKEN.findall(text.lower()))
                 own = counts[int(toxic)]
                 own.update(words)
                 own.update({w[:n] + "*" for w in words for n in STEM_LENGTHS if len(w) > n})

@@ -202,3 +202,19 @@ def test_odd_vectors(spark):
     assert by_id[1] == (2, 1) and by_id[8] == (2, 1)
     assert all(by_id[i] == (0, i) for i in (2, 3, 4, 5, 6, 7, 9)) and by_id[None] == (0, None)
     assert vectors.near_vectors(frame.where("vec_id < 0")).count() == 0
+
+
+def test_large_ids_beside_nulls_are_not_confused(spark):
+    rows = [(2**60 + 1, "a b c d e f g"), (2**60 + 2, "h i j k l m n"), (None, "o p q r s t"), (2**60 + 3, "a b c d e f g")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(frame).collect()}
+    assert found == {2**60 + 1: 2**60 + 1, 2**60 + 2: 2**60 + 2, 2**60 + 3: 2**60 + 1, None: None}
+
+
+def test_components_that_do_not_end_are_an_error(spark, monkeypatch):
+    from resonance.llm import components as module
+
+    monkeypatch.setattr(module, "MAX_ROUNDS", 1)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    with pytest.raises(RuntimeError, match="not complete"):
+        components(edges)

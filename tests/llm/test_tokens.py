@@ -151,3 +151,26 @@ def test_assignment_fills_and_balances():
         assert sum(x == 2048 for x in loads.values()) == sum(lengths) // 2048
     full = [costs[s] for s in loads if loads[s] == 2048]
     assert max(full) < 1.6 * min(full)
+
+
+LARGE = [(2**60 + 1, "one two three four five"), (2**60 + 2, "six seven eight nine ten"), (None, "no id here at all")]
+
+
+@pytest.mark.parametrize("run", [
+    lambda d, v: packing.pack(d, v).select("doc_id").distinct(), lambda d, v: attribution.attribute(d, v).select("doc_id").distinct()])
+def test_large_ids_beside_nulls_stay_as_they_are(spark, word_vocabulary, run):
+    docs = spark.createDataFrame(LARGE, "doc_id long, text string").coalesce(1)
+    found = run(docs, word_vocabulary)
+    assert {r["doc_id"] for r in found.collect()} == {i for i, _ in LARGE} and dict(found.dtypes) == {"doc_id": "bigint"}
+
+
+def test_copies_of_a_row_are_spread_over_shards(spark, word_vocabulary):
+    docs = spark.range(0, 600, 1, 3).selectExpr("1 AS doc_id", "repeat('a copy ', 40) AS text")
+    found = packing.pack(docs, word_vocabulary, shard_rows=60).collect()
+    assert len({r["sequence_id"] >> 40 for r in found}) > 5
+    lengths = {}
+    for r in found:
+        lengths.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in lengths.values():
+        pieces.sort()
+        assert [o for o, _ in pieces] == np.cumsum([0, *[n for _, n in pieces]])[:-1].tolist()
