@@ -83,3 +83,83 @@ def test_keyword_influence_finds_the_word_that_matters(spark):
     assert top["keyword"].startswith("great") and top["influence"] > 0
     weights = {r["keyword"]: r["influence"] for r in table.collect()}
     assert weights["dull"] < 0 < weights["great"]
+
+
+def wide(spark, n=400, d=14):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(n, d)).round(1)
+    y = x[:, 0] * x[:, 1] + x[:, 2] + np.abs(x[:, 3]) + x @ rng.normal(size=d) / 3
+    names = [f"c{i}" for i in range(d)]
+    rows = [(i, *map(float, a), float(b)) for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, ["id", *names, "engagement_rate"])
+    return x, models.assembler(names).transform(df)
+
+
+def test_deep_trees_are_explained_like_shallow_ones(spark, monkeypatch):
+    x, df = wide(spark)
+    model = models.forest(numTrees=4, maxDepth=30).fit(df)
+    leaves, deep, base = trees.explained(spark, model)
+    assert len(deep) == 4 and not leaves
+    some = x[:40]
+    got = trees.attributions(some, leaves, deep, [])
+    predicted = np.array([r["prediction"] for r in model.transform(df).orderBy("id").collect()])[:40]
+    assert np.abs(base + got.sum(axis=1) - predicted).max() < 1e-9
+    # The same trees by tables of all patterns.
+    monkeypatch.setattr(trees, "TABLED", 20)
+    leaves, deep, _ = trees.explained(spark, model)
+    assert not deep and max(len(leaf.features) for leaf in leaves) > 8
+    assert np.allclose(got, trees.attributions(some, leaves, [], trees.payment_tables(leaves)), atol=1e-10)
+
+
+def test_walk_equals_the_definition_on_small_trees(spark, monkeypatch):
+    x, df = data(spark)
+    monkeypatch.setattr(trees, "TABLED", 0)
+    monkeypatch.setattr(trees, "WALKERS", 7)
+    model = models.boosted(maxIter=3, maxDepth=5).fit(df)
+    nodes = {(r["tree"], r["id"]): r for r in trees.tree_nodes(spark, model).collect()}
+    leaves, deep, base = trees.explained(spark, model)
+    assert len(deep) == 3
+    got = trees.attributions(x[:12], leaves, deep, [])
+    for row, shap in zip(x[:12], got):
+        assert np.allclose(shap, brute_force(nodes, row, 4))
+
+
+@pytest.mark.parametrize("kind, settings", [
+    (models.boosted, {"maxIter": 4, "maxDepth": 3}), (models.forest, {"numTrees": 3, "maxDepth": 8}), (models.tree, {"maxDepth": 9}),
+    (models.linear, {})])
+def test_word_scores_equal_those_of_whole_rows(spark, kind, settings):
+    rng = np.random.default_rng(2)
+    names = [f"word{i}" for i in range(60)]
+    rows = [(i, int(rng.integers(0, 9)), int(rng.integers(0, 5)), 1, 1, 0, " ".join(rng.choice(names, 6)),
+             ["Poll", "Reel", None][i % 3], float(rng.normal())) for i in range(300)]
+    rows += [(300, 5, 1, None, 1, 0, "the fox  fox and", "Poll", 0.5), (301, 1, 1, 1, 1, 1, " ", "Poll", 0.5)]
+    df = spark.createDataFrame(rows, "post_id long, impressions long, reactions long, comments long, reposts long, "
+                                     "saves long, post_text string, post_type string, engagement_rate double")
+    preprocessor, _ = bundle.fit_preprocessor(df)
+    fitted = bundle.fit_bundle(preprocessor, df, kind(**settings))
+    got = {(r["post_id"], r["pos"]): (r["word"], r["score"]) for r in words.word_scores(df, fitted).collect()}
+    assert len(got) == 300 * 6 + 4
+    each = [(i, p, w) for i, *_, text, _, _ in rows if text.strip() for p, w in enumerate(text.split())]
+    alone = spark.createDataFrame(each, "post_id long, pos int, word string").join(df, "post_id").drop("post_text")
+    want = bundle.score(alone.withColumnRenamed("word", "post_text"), fitted).collect()
+    for r in want:
+        word, score = got[r["post_id"], r["pos"]]
+        assert word == r["post_text"] and abs(score - r["prediction"]) < 1e-9
+
+
+def test_keywords_equal_the_closed_form(spark):
+    """Two words, by hand: tf-idf vectors of unit length, then the ridge equations."""
+    texts = ["alpha", "alpha alpha beta", "beta", "beta gamma beta", "alpha gamma"] * 3
+    rates = [float(1 + i % 4 + (i % 5) / 3) for i in range(len(texts))]
+    df = spark.createDataFrame(list(zip(texts, rates)), "post_text string, engagement_rate double")
+    for size in (1, 2):
+        got = {r["keyword"]: r["influence"] for r in words.keyword_influence(df, size=size, alpha=0.7).collect()}
+        counts = np.array([[t.split().count(w) for w in ("alpha", "beta")] for t in texts], float)
+        idf = np.log((1 + len(texts)) / (1 + (counts > 0).sum(axis=0))) + 1
+        kept = [0, 1] if size == 2 else [int(counts.sum(axis=0).argmax())]
+        x = (counts * idf)[:, kept]
+        norm = np.sqrt((x**2).sum(axis=1, keepdims=True))
+        x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+        xc, yc = x - x.mean(0), np.array(rates) - np.mean(rates)
+        want = np.linalg.solve(xc.T @ xc + 0.7 * np.eye(len(kept)), xc.T @ yc)
+        assert np.allclose([got[w] for w in np.array(["alpha", "beta"])[kept]], want, atol=1e-9)
