@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from resonance.functions import scalars as S
 from resonance.learning import models
+from resonance.learning.encoder import TextEncoder
 from resonance.operators import features
 from resonance.sources import tables
 
@@ -18,12 +19,13 @@ ABOUT_SCHEMA = (
 
 
 def fit_preprocessor(df: DataFrame, text: str | None = None, category: str = "post_type",
-                     dim: int = features.EMBEDDING_SIZE) -> tuple[PipelineModel, DataFrame]:
-    """Fit scaling and encoding on the whole table: ``(model, one-row description)``."""
+                     dim: int = features.EMBEDDING_SIZE, encoder: TextEncoder | None = None) -> tuple[PipelineModel, DataFrame]:
+    """Fit scaling and encoding on the whole table: ``(model, one-row description)``. ``encoder``: of the user's own."""
+    dim = encoder.getSize() if encoder else dim
     text = text or tables.text_column(df)
     numeric = tables.existing(df, features.SCORING)
     ready = tables.ensure_column(df, category, "Text")
-    model = models.pipeline(*models.scoring_features(numeric, category, text, dim)).fit(ready)
+    model = models.pipeline(*models.scoring_features(numeric, category, text, dim, encoder)).fit(ready)
     flags = [f"{category}_{k}" for k in sorted(S.POST_TYPES)]
     about = [(numeric, category, flags, list(S.POST_TYPES), dim, len(numeric) + len(flags) + dim)]
     return model, df.sparkSession.createDataFrame(about, ABOUT_SCHEMA)

@@ -12,6 +12,7 @@ from pyspark.ml.regression import (
 )
 
 from resonance.functions import scalars as S
+from resonance.learning.encoder import TextEncoder
 from resonance.learning.stages import (
     CategoryFlags,
     PopulationScaler,
@@ -50,18 +51,22 @@ def text_features(names=features.TEXT, text: str = "post_text", size: int = feat
 
 
 def scoring_features(names, category: str = "post_type", text: str = "post_text",
-                     dim: int = features.EMBEDDING_SIZE) -> list:
-    """Scaled numbers, category flags and text embedding, in this order.
+                     dim: int = features.EMBEDDING_SIZE, encoder: TextEncoder | None = None) -> list:
+    """Scaled numbers, category flags and text embedding (that of ``encoder``, if given), in this order.
 
     Each block states its width: a vector of another width is an error, and the
     assembler need not run a job to find the widths (so it works on streams).
     """
+    if encoder is None:
+        embedding = embedding_stages(text, "embedding", dim)
+    else:
+        embedding, dim = [encoder.copy({encoder.inputCol: text, encoder.outputCol: "embedding"})], encoder.getSize()
     return [
         PopulationScaler(inputCols=list(names), outputCol="numbers"),
         size_guard("numbers", len(names)),
         CategoryFlags(inputCol=category, outputCol="flags"),
         size_guard("flags", len(S.POST_TYPES)),
-        *embedding_stages(text, "embedding", dim),
+        *embedding,
         size_guard("embedding", dim),
         assembler(["numbers", "flags", "embedding"]),
     ]

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from resonance.learning import bundle, metrics, models, splits, tuning
+from resonance.learning.encoder import TextEncoder
 from resonance.learning.stages import RidgeRegression
 from resonance.operators import features, relational
 from resonance.sources import tables
@@ -77,12 +78,12 @@ def compare_models(table: DataFrame, grids: dict | None = None, parallelism: int
 
 
 def train_scorer(posts: DataFrame, path: str | None = None, key: str = "post_id",
-                 estimator: Estimator | None = None) -> tuple[PipelineModel, DataFrame]:
+                 estimator: Estimator | None = None, encoder: TextEncoder | None = None) -> tuple[PipelineModel, DataFrame]:
     """Preprocessor on all posts, boosted trees on the training part: ``(bundle, test metrics)``.
 
-    With ``path`` the bundle and its description are saved there.
+    With ``path`` the bundle and its description are saved there. Texts get the vectors of ``encoder``, if given.
     """
-    preprocessor, about = bundle.fit_preprocessor(posts)
+    preprocessor, about = bundle.fit_preprocessor(posts, encoder=encoder)
     train, test = splits.split(posts, key)
     fitted = bundle.fit_bundle(preprocessor, train, estimator)
     if path:
