@@ -112,7 +112,13 @@ def e7_precomputed_embeddings(spark, sf_dir):
     return out.select("vec_id", "label", (F.round(norm, 4) + F.lit(0.0)).alias("norm"))
 
 
-@register("e8_word_embeddings")
+@register(
+    "e8_word_embeddings",
+    rf"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\s\x0b\x85\p{{Z}}]+') AS ws FROM documents WHERE text IS NOT NULL),
+    e AS (SELECT doc_id, CAST(unnest(range(len(ws))) AS INTEGER) AS pos, unnest(ws) AS word FROM w)
+    SELECT doc_id, pos, word, CASE WHEN len(list_filter(regexp_extract_all(lower(word), '[\p{{L}}\p{{N}}_]{{2,}}'),
+      lambda t: t NOT IN ({_STOPS}))) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM e""",
+)
 def e8_word_embeddings(spark, sf_dir):
     """Vector of every word of every document."""
     docs = _documents(spark, sf_dir).select("doc_id", "text").dropna()
