@@ -10,7 +10,7 @@ from pyspark.ml.feature import (
     HashingTF,
     Normalizer,
     SQLTransformer,
-    StandardScaler,
+    StandardScalerModel,
     VectorSlicer,
 )
 from pyspark.ml.common import _py2java
@@ -77,7 +77,7 @@ class PopulationScalerModel(Model, HasInputCols, HasOutputCol, DefaultParamsRead
 
 
 class VectorStandardizer(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Standard scores of a whole vector over the population deviation, from native stages."""
+    """Standard scores of a whole vector over the population deviation, by Spark's own scaler model; one pass."""
 
     @keyword_only
     def __init__(self, *, inputCol=None, outputCol=None):
@@ -85,16 +85,16 @@ class VectorStandardizer(Estimator, HasInputCol, HasOutputCol, DefaultParamsRead
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset):
-        source, out = self.getInputCol(), self.getOutputCol()
-        helper = f"_{out}_sample"
-        scaler = StandardScaler(withMean=True, withStd=True, inputCol=source, outputCol=helper).fit(dataset)
-        # Spark divides by the sample deviation; this factor turns it into the population's.
-        n = dataset.count()
-        factor = (n / (n - 1)) ** 0.5 if n > 1 else 1.0
-        widen = ElementwiseProduct(
-            scalingVec=Vectors.dense([factor] * len(scaler.mean)), inputCol=helper, outputCol=out
-        )
-        return PipelineModel([scaler, widen, drop_stage(helper)])
+        summary = Summarizer.metrics("mean", "variance", "count").summary(F.col(self.getInputCol()))
+        about = dataset.select(summary.alias("s")).first()["s"]
+        # Spark's variance is the sample's.
+        n, context = about["count"], dataset.sparkSession.sparkContext
+        deviations = (about["variance"].toArray() * ((n - 1) / n if n else 0.0)) ** 0.5
+        java = context._jvm.org.apache.spark.ml.feature.StandardScalerModel(
+            Identifiable().uid, *[_py2java(context, Vectors.dense(v)) for v in (deviations, about["mean"])])
+        model = StandardScalerModel(java)
+        model._resetUid(java.uid())
+        return model._set(withMean=True, withStd=True, inputCol=self.getInputCol(), outputCol=self.getOutputCol())
 
 
 class CategoryFlags(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):

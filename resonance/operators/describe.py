@@ -92,14 +92,20 @@ def histogram(df: DataFrame, c: str, bins: int = 30) -> DataFrame:
     )
 
 
+#: Kernel widths beyond which a value adds less to the density than rounding does; parts of a width merged into one value.
+SUPPORT, MERGED = 9.0, 4096
+
+
 def kde(df: DataFrame, c: str, gridsize: int = 200, bins: int = 30) -> DataFrame:
     """Gaussian density on a grid, on the count scale of a histogram of ``bins``.
 
-    Equal values are counted first, so each distinct value meets the grid once;
-    the partial sums per grid point are formed before the shuffle, which then
-    moves ``gridsize`` rows per task. A constant column, or one value, has no
-    density: no rows.
+    Values within a ``MERGED``-th of the kernel's width count as their mean, which changes the density by less than one
+    part in 10^8 (equal values are merged without loss); a merged value meets only the grid points within ``SUPPORT``
+    widths. So work after the first aggregation depends on the range in widths, not on how many distinct values there
+    are; partial sums per grid point are formed before the shuffle. A constant column, or one value, has no density: no
+    rows.
     """
+    spark = df.sparkSession
     values = df.select(F.col(c).cast("double").alias("v")).where(F.col("v").isNotNull())
     stats = (
         values.agg(
@@ -111,20 +117,33 @@ def kde(df: DataFrame, c: str, gridsize: int = 200, bins: int = 30) -> DataFrame
         .select(F.struct("n", "sd", "lo", "hi").alias("s"))
         .scalar()
     )
-    weights = values.groupBy("v").agg(F.count(F.lit(1)).alias("w")).withColumn("s", stats)
-    bandwidth = F.col("s.sd") * F.pow(F.col("s.n").cast("double"), F.lit(-0.2))
-    at = F.col("s.lo") + F.col("g") * (F.col("s.hi") - F.col("s.lo")) / (gridsize - 1)
+
+    def with_scale(rows: DataFrame) -> DataFrame:
+        step = (F.col("s.hi") - F.col("s.lo")) / (gridsize - 1)
+        width = F.col("s.sd") * F.pow(F.col("s.n").cast("double"), F.lit(-0.2))
+        return rows.withColumn("s", stats).where(F.col("s.sd") > 0).withColumns({"h": width, "step": step})
+
+    merged = (
+        with_scale(values)
+        .groupBy(F.floor((F.col("v") - F.col("s.lo")) / F.col("h") * MERGED).alias("part"))
+        .agg(F.count(F.lit(1)).alias("w"), F.avg("v").alias("v"))
+    )
+    place, reach = (F.col("v") - F.col("s.lo")) / F.col("step"), SUPPORT * F.col("h") / F.col("step")
+    first = F.greatest(F.ceil(place - reach), F.lit(0)).cast("int")
+    last = F.least(F.floor(place + reach), F.lit(gridsize - 1)).cast("int")
     bin_width = (F.col("s.hi") - F.col("s.lo")) / bins
-    kernel = F.exp(-0.5 * F.pow((F.col("x") - F.col("v")) / F.col("h"), 2.0)) / (F.col("h") * F.sqrt(2 * F.pi()))
-    return (
-        weights.where(F.col("s.sd") > 0)
-        .withColumn("h", bandwidth)
-        .withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))))
-        .withColumn("x", at)
-        .withColumn("k", F.col("w") * kernel * bin_width)
+    x = F.col("s.lo") + F.col("g") * F.col("step")
+    kernel = F.exp(-0.5 * F.pow((x - F.col("v")) / F.col("h"), 2.0)) / (F.col("h") * F.sqrt(2 * F.pi()))
+    sums = (
+        with_scale(merged)
+        .where(first <= last)
+        .withColumn("g", F.explode(F.sequence(first, last)))
         .groupBy("g")
-        .agg(F.first("x").alias("x"), F.sum("k").alias("density"))
-        .withColumnRenamed("g", "grid")
+        .agg(F.sum(F.col("w") * kernel * bin_width).alias("density"))
+    )
+    axis = with_scale(spark.range(gridsize).select(F.col("id").cast("int").alias("g"))).select("g", x.alias("x"))
+    return axis.join(sums, "g", "left").select(
+        F.col("g").alias("grid"), "x", F.coalesce("density", F.lit(0.0)).alias("density")
     )
 
 

@@ -35,22 +35,25 @@ LEAK_FREE = {
 
 
 def population_stats(df: DataFrame, cols: Sequence[str]) -> Column:
-    """Mean and population deviation of each column as a scalar subquery.
+    """Mean and population deviation of each column as a scalar subquery; nulls count as 0, as in the models' scaler.
 
     A constant column has deviation 1, so that scaling leaves it at 0.
     """
     parts = []
     for c in cols:
-        sd = F.stddev_pop(c)
-        parts += [F.avg(c).alias(f"{c}_mean"), F.when(sd > 0, sd).otherwise(1.0).alias(f"{c}_sd")]
+        number = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+        sd = F.stddev_pop(number)
+        parts += [F.avg(number).alias(f"{c}_mean"), F.when(sd > 0, sd).otherwise(1.0).alias(f"{c}_sd")]
     stats = df.agg(*parts)
     return stats.select(F.struct(*stats.columns).alias("s")).scalar()
 
 
 def standard_scale(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
-    """Replace each column by its standard score over ``fit_on`` (default: ``df``)."""
+    """Replace each column by its standard score over ``fit_on`` (default: ``df``); a null counts as 0."""
     stats = population_stats(fit_on if fit_on is not None else df, cols)
-    scaled = {c: (F.col(c) - F.col("_s")[f"{c}_mean"]) / F.col("_s")[f"{c}_sd"] for c in cols}
+    scaled = {
+        c: (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.col("_s")[f"{c}_mean"]) / F.col("_s")[f"{c}_sd"] for c in cols
+    }
     return df.withColumn("_s", stats).withColumns(scaled).drop("_s")
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from resonance.operators import describe
+from resonance.sources.tables import POST_SCHEMA
 
-SUMMARISED = ("weekday", "month", "year", "hour", "impressions", "reactions", "comments", "reposts", "saves",
-              "engagement_rate")
+SUMMARISED = tuple(f.name for f in POST_SCHEMA if isinstance(f.dataType, T.NumericType))
 
 
 def exploratory_report(posts: DataFrame) -> dict[str, DataFrame]:

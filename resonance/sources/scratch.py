@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,9 +27,35 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Names given out inside :func:`temporary`, a list for each such block that is open.
+_open: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder name in the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    for names in _open:
+        names.append(path)
+    return path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Remove a table in the shared folder that nothing reads any more, by the file system it is on."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written to the shared folder inside are removed at the end: write results elsewhere before."""
+    names: list[str] = []
+    _open.append(names)
+    try:
+        yield
+    finally:
+        _open.remove(names)
+        for path in names:
+            drop(spark, path)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -44,7 +44,7 @@ def expected_tfidf(size):
     return sorted(vocab), out
 
 
-def test_stop_words_are_sparks():
+def test_stop_words_are_sparks(spark):
     from pyspark.ml.feature import StopWordsRemover
 
     theirs = StopWordsRemover.loadDefaultStopWords("english")
