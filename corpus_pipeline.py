@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from resonance.llm import catalog, jaccard, language, lines, packing, pii
 from resonance.llm.support import row_columns
-from resonance.sources.scratch import scratch_path
+from resonance.sources.scratch import drop, scratch_path, temporary
 
 #: A language surer than this is a decision; less is a rejection, as is a text without letters.
 LEAST_SURE = 0.5
@@ -71,11 +71,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = scratch_path(spark, "pipeline")
+    """All stages over ``documents``, each written and read again by the next.
+
+    What a stage wrote for itself, and the table it read, are removed when its own table is written; the last one stays.
+    An empty table goes through all stages.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{base}/{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{base}/{name}")
+        path = scratch_path(spark, f"pipeline-{name}")
+        with temporary(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        if before:
+            drop(spark, before)
+        docs, before = spark.read.schema(out.schema).parquet(path), path
     return docs
