@@ -20,6 +20,11 @@ def cells(spark, sf_dir):
     return standins.sheet_cells(spark, sf_dir)
 
 
+def stored_cells(spark, sf_dir):
+    """The cells written once, as the flow over workbooks does: extraction looks at them in four ways."""
+    return scratch.written(cells(spark, sf_dir), "cells")
+
+
 @register(
     "x1_header_like_sheets",
     f"""WITH {CELLS} SELECT file, bool_or(regexp_matches(lower(value),
@@ -91,7 +96,7 @@ def x5_any_url(spark, sf_dir):
     FROM posts CROSS JOIN (SELECT unnest([{KEY_LIST}]) AS key) k""",
 )
 def x6_metrics_map(spark, sf_dir):
-    metrics = extract.extract_metrics(cells(spark, sf_dir), HOST)
+    metrics = extract.extract_metrics(stored_cells(spark, sf_dir), HOST)
     return metrics.select("file", "url_by_position", F.explode("entries").alias("key", "e")).select(
         "file", "url_by_position", "key", F.col("e.value").alias("value")
     )
@@ -115,7 +120,7 @@ def _readable(posts):
 
 @register("x7_posts_from_sheets", _POSTS_BACK)
 def x7_posts_from_sheets(spark, sf_dir):
-    return _readable(extract.consolidate(cells(spark, sf_dir), HOST))
+    return _readable(extract.consolidate(stored_cells(spark, sf_dir), HOST))
 
 
 @register("x8_consolidated_total", f"""WITH {POSTS}
@@ -123,7 +128,7 @@ def x7_posts_from_sheets(spark, sf_dir):
       {r('sum(engagement_rate)')} AS engagement_rate FROM posts""")
 def x8_consolidated_total(spark, sf_dir):
     """Halves of the cell table read apart and appended give the whole."""
-    all_cells = cells(spark, sf_dir)
+    all_cells = stored_cells(spark, sf_dir)
     odd = F.col("file").cast("bigint") % 2 == 1
     parts = [extract.consolidate(all_cells.where(p), HOST) for p in (odd, ~odd)]
     return parts[0].unionByName(parts[1]).agg(

@@ -10,6 +10,7 @@ from resonance.learning import bundle as bundles
 from resonance.plans import standins
 from resonance.sources import scratch
 from resonance.streaming.collect import collect_texts, collected
+from resonance.streaming.keystore import KeyStore, collect_by_key
 from resonance.streaming.scoring import score_stream
 
 
@@ -55,6 +56,23 @@ def s6_collection_of_two_runs(spark, sf_dir):
     return collected(spark, f"{base}/store").drop("run", "batch")
 
 
+@register(
+    "s6_collection_by_key_index",
+    f"""SELECT concat('https://www.example.com/posts/', CAST(doc_id AS VARCHAR)) AS post_url,
+      trim(text, {_BLANKS}) AS post_text FROM documents WHERE trim(text, {_BLANKS}) <> ''""",
+)
+def s6_collection_by_key_index(spark, sf_dir):
+    """The same two streams into a store with a key index and commits."""
+    incoming = _document_stream(spark, sf_dir).select(
+        F.concat(F.lit(f"https://{standins.HOST}/posts/"), F.col("doc_id").cast("string")).alias("post_url"),
+        F.col("text").alias("post_text"), (F.col("doc_id") % 3).alias("part"),
+    )
+    base = scratch.scratch_path(spark, "collect")
+    for run, part in (("first", F.col("part") < 2), ("second", F.col("part") > 0)):
+        collect_by_key(incoming.where(part).drop("part"), f"{base}/store", f"{base}/{run}").awaitTermination()
+    return KeyStore(spark, f"{base}/store").texts()
+
+
 @register("m13_streaming_scores", "SELECT doc_id AS post_id, true AS same FROM documents")
 def m13_streaming_scores(spark, sf_dir):
     """Drafts scored from a stream get the predictions of the batch scorer."""

@@ -1,5 +1,6 @@
 from resonance.sources.tables import TEXT_SCHEMA
 from resonance.streaming.collect import _stored_elsewhere, collect_texts, collected, run_id
+from resonance.streaming.keystore import KeyStore
 
 
 def test_collection_resumes_and_survives_replay(spark, tmp_path):
@@ -26,3 +27,45 @@ def test_collection_resumes_and_survives_replay(spark, tmp_path):
     assert run(str(tmp_path / "other")) == sorted([*want, ("d", "four")])
     assert run_id(spark, str(tmp_path / "other")) != first
     assert run() == sorted([*want, ("d", "four")])
+
+
+def rows_of(spark, *rows):
+    return spark.createDataFrame(list(rows), TEXT_SCHEMA)
+
+
+def stored(store):
+    return sorted((r["post_url"], r["post_text"]) for r in store.texts().collect())
+
+
+def test_key_store_adds_each_url_once(spark, tmp_path):
+    store = KeyStore(spark, str(tmp_path / "s"), buckets=8)
+    assert stored(store) == []
+    assert store.add(rows_of(spark, ("a", " one"), (None, "x"), ("b", "  "), ("c", "two"), ("c", "three")), "r/0")
+    assert not store.add(rows_of(spark, ("z", "replayed")), "r/0")
+    assert store.add(rows_of(spark, ("a", "other"), ("d", "four")), "r/1")
+    assert store.add(rows_of(spark), "r/2")
+    assert stored(store) == [("a", "one"), ("c", "three"), ("c", "two"), ("d", "four")]
+    assert [c.number for c in store.commits()] == [1, 2, 3]
+
+
+def test_batch_reads_only_its_buckets(spark, tmp_path):
+    store = KeyStore(spark, str(tmp_path / "s"), buckets=8)
+    store.add(rows_of(spark, *[(f"u{i}", "t") for i in range(50)]))
+    plan = store.keys(store.commits(), [2, 5])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan and "IN (2,5)" in plan and "post_text" not in plan
+
+
+def test_two_runs_at_once_do_not_both_add_a_url(spark, tmp_path, monkeypatch):
+    store, commit = KeyStore(spark, str(tmp_path / "s")), KeyStore._commit
+    other, calls = KeyStore(spark, str(tmp_path / "s")), []
+
+    def late(self, mine):
+        if self is store and not calls:
+            calls.append(mine)
+            assert other.add(rows_of(spark, ("a", "theirs"), ("b", "theirs")), "other/0")
+        return commit(self, mine)
+
+    monkeypatch.setattr(KeyStore, "_commit", late)
+    assert store.add(rows_of(spark, ("a", "mine"), ("c", "mine")), "first/0")
+    assert stored(store) == [("a", "theirs"), ("b", "theirs"), ("c", "mine")]
+    assert [c.owner for c in store.commits()] == ["other/0", "first/0"]
