@@ -10,8 +10,6 @@ the least vector its block connects it to, and components are unions of those.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -190,13 +188,35 @@ def scanned(graph: Graph, queries: np.ndarray, threshold: float) -> tuple[np.nda
     return np.concatenate(rows), np.concatenate(nodes)
 
 
-def near_pairs(graph: Graph, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """Pairs (query, node) above ``threshold`` and the beam the audit asked for (0: the scan)."""
+def probes(graph: Graph, threshold: float, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors made to link, just, with a node each: nodes turned by the angle of the threshold in a random direction."""
+    nodes = np.linspace(0, len(graph.vectors) - 1, min(AUDITED, len(graph.vectors))).astype(int)
+    if graph.vectors.shape[1] < 2:
+        return graph.vectors[nodes], nodes
+    v = graph.vectors[nodes].astype(np.float64)
+    side = np.random.default_rng(len(own)).normal(size=v.shape)
+    side -= (side * v).sum(axis=1, keepdims=True) * v
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = min(1.0, threshold + 2 * SLACK)
+    return (cosine * v + (1 - cosine**2) ** 0.5 * side).astype(np.float32), nodes
+
+
+def near_pairs(graph: Graph, queries: np.ndarray, threshold: float, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Pairs (query, node) above ``threshold`` and the beam the audit asked for (0: the scan).
+
+    ``own`` is the node that is the query itself, or -1. An audit asks for ``RECALL`` of the links of sampled queries,
+    matches with themselves left out, and of the probes' links; so it says something where hardly any vectors link.
+    """
     sample = np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(int)
     true_rows, true_nodes = scanned(graph, queries[sample], threshold)
-    truth = set(zip(sample[true_rows].tolist(), true_nodes.tolist()))
+    truth = {(q, n) for q, n in zip(sample[true_rows].tolist(), true_nodes.tolist()) if own[q] != n}
+    planted, targets = probes(graph, threshold, own)
     beam = min(FIRST_BEAM, len(graph.vectors))
     while beam <= min(WIDEST_BEAM, len(graph.vectors)):
+        near, _ = graph.search(planted, beam)
+        if (near == targets[:, None]).any(axis=1).mean() < RECALL:
+            beam *= 2
+            continue
         pairs, left, wide = [], np.arange(len(queries)), beam
         while len(left) and wide <= WIDEST_BEAM:
             ids, sims = graph.search(queries[left], min(wide, len(graph.vectors)))
@@ -298,7 +318,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, key: str = "vec_id
         ids, v = pdf["rep"].to_numpy(np.int64), np.stack(pdf["v"].tolist())
         unit, node_unit = units(v), units(exact)
         graph = Graph(node_unit.astype(np.float32), counts, layers)
-        q, n, beam = near_pairs(graph, unit.astype(np.float32), threshold - SLACK)
+        order = np.argsort(node_ids)
+        place = np.minimum(np.searchsorted(node_ids, ids, sorter=order), len(node_ids) - 1)
+        own = np.where(node_ids[order[place]] == ids, order[place], -1)
+        q, n, beam = near_pairs(graph, unit.astype(np.float32), threshold - SLACK, own)
         other = ids[q] != node_ids[n]
         q, n = q[other], n[other]
         sure = np.zeros(len(q), bool)

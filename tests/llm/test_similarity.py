@@ -218,3 +218,29 @@ def test_components_that_do_not_end_are_an_error(spark, monkeypatch):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
     with pytest.raises(RuntimeError, match="not complete"):
         components(edges)
+
+
+def some_vectors(n, d=32, seed=9):
+    v = np.random.default_rng(seed).normal(size=(n, d))
+    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+
+
+def test_audit_sees_a_broken_graph_where_nothing_links():
+    v = some_vectors(3000)
+    graph = vectors.Graph.build(v)
+    _, _, beam = vectors.near_pairs(graph, v[:600], 0.95, np.arange(600))
+    assert 0 < beam <= vectors.WIDEST_BEAM
+    # No node leads to another: no query links with any but itself, yet the probes do not find their nodes.
+    broken = vectors.Graph(v, graph.counts, [np.full_like(x, -1) for x in graph.layers])
+    rows, nodes, beam = vectors.near_pairs(broken, v[:600], 0.95, np.arange(600))
+    assert beam == 0 and (rows == nodes).all() and len(rows) == 600
+
+
+def test_probes_link_with_their_nodes_and_hardly_more():
+    v = some_vectors(500, 8)
+    graph = vectors.Graph.build(v)
+    planted, targets = vectors.probes(graph, 0.95, np.arange(500))
+    cosines = (planted.astype(np.float64) * v[targets]).sum(axis=1)
+    assert (cosines >= 0.95).all() and (cosines < 0.951).all()
+    one = vectors.Graph.build(some_vectors(5, 1))
+    assert len(vectors.probes(one, 0.95, np.arange(5))[0]) == 5
