@@ -15,8 +15,9 @@ from resonance.streaming.scoring import score_stream
 
 
 def _document_stream(spark, sf_dir):
+    """Documents as a stream: one file, or a folder of part files. A stream takes a single file by a pattern only."""
     schema = standins.table(spark, sf_dir, "documents").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]")
 
 
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(160)"

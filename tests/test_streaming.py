@@ -69,3 +69,14 @@ def test_two_runs_at_once_do_not_both_add_a_url(spark, tmp_path, monkeypatch):
     assert store.add(rows_of(spark, ("a", "mine"), ("c", "mine")), "first/0")
     assert stored(store) == [("a", "theirs"), ("b", "theirs"), ("c", "mine")]
     assert [c.owner for c in store.commits()] == ["other/0", "first/0"]
+
+
+def test_document_stream_reads_a_file_or_a_folder(spark, tmp_path):
+    from resonance.catalog import streams
+
+    rows = spark.createDataFrame([(1, " one "), (2, "two"), (3, " "), (4, None)], "doc_id long, text string")
+    rows.repartition(3).write.parquet(f"{tmp_path}/folder/documents.parquet")
+    rows.toPandas().to_parquet((tmp_path / "documents.parquet").as_posix())
+    for at in (str(tmp_path), f"{tmp_path}/folder"):
+        for query in (streams.s6_streaming_collection, streams.s6_collection_of_two_runs, streams.s6_collection_by_key_index):
+            assert sorted(r["post_text"] for r in query(spark, at).collect()) == ["one", "two"]
