@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import HashingTF, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -188,5 +188,5 @@ def word_embeddings(df: DataFrame, text: str, embed: Callable[[DataFrame, str],
 
 
 def vector_norm(c: str) -> Column:
-    """Length of a vector column."""
-    return F.sqrt(F.aggregate(vector_to_array(c), F.lit(0.0), lambda a, x: a + x * x))
+    """Length of a vector column, from the entries that are stored: of a sparse vector those other than 0."""
+    return F.sqrt(F.aggregate(F.unwrap_udt(c)["values"], F.lit(0.0), lambda a, x: a + x * x))
