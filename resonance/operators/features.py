@@ -168,15 +168,18 @@ def tfidf_long(df: DataFrame, doc_id: str, text: str, fit_on: DataFrame | None =
     n_docs = source.select(F.count(text).alias("n")).scalar()
     idf = F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1
     vocab = vocabulary(source, text, size, **options).withColumn("_n", n_docs).select("term", idf.alias("idf"))
-    raw = (
-        exploded(with_terms(df.select(doc_id, text), text, **options), [doc_id], F.col("terms"), "term")
+    weights = (
+        exploded(with_terms(df.select(doc_id, text).where(F.col(doc_id).isNotNull()), text, **options), [doc_id], F.col("terms"), "term")
         .join(F.broadcast(vocab) if size <= BROADCAST_TERMS else vocab, "term")
         .groupBy(doc_id, "term", "idf")
         .agg(F.count(F.lit(1)).alias("tf"))
-        .select(doc_id, "term", (F.col("tf") * F.col("idf")).alias("w"))
+        .select(doc_id, F.struct("term", (F.col("tf") * F.col("idf")).alias("w")).alias("e"))
     )
-    norms = raw.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return raw.join(norms, doc_id).select(doc_id, "term", (F.col("w") / F.col("_norm")).alias("weight"))
+    # A text's terms meet as one array, so that their length needs no second pass over the texts.
+    whole = weights.groupBy(doc_id).agg(F.collect_list("e").alias("_e"))
+    norm = F.sqrt(F.aggregate("_e", F.lit(0.0), lambda a, e: a + e["w"] * e["w"]))
+    each = whole.select(doc_id, norm.alias("_norm"), F.explode_outer("_e").alias("e"))
+    return each.select(doc_id, "e.term", (F.col("e.w") / F.col("_norm")).alias("weight"))
 
 
 def hashed_embedding(df: DataFrame, text: str, out: str = "embedding", dim: int = EMBEDDING_SIZE,
