@@ -31,11 +31,31 @@ def fit_preprocessor(df: DataFrame, text: str | None = None, category: str = "po
     return model, df.sparkSession.createDataFrame(about, ABOUT_SCHEMA)
 
 
+#: A table of more rows than this is dealt evenly before a model is fitted; rows of such a piece at most.
+AS_IT_IS, PIECE = 16_384, 50_000
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """A persisted table in even pieces, a multiple of the cores, if it is large; the caller unpersists what it gets.
+
+    Pieces that joins leave are even in bytes: rows without a text may all lie in one, and every pass waits for it.
+    """
+    n = rows.count()
+    if n <= AS_IT_IS:
+        return rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    even = rows.repartition(cores * -(-n // (cores * PIECE))).persist()
+    even.count()
+    rows.unpersist()
+    return even
+
+
 def fit_bundle(preprocessor: PipelineModel, train: DataFrame, estimator=None) -> PipelineModel:
     """Preprocessor and a model fitted behind it as one pipeline."""
     featured = preprocessor.transform(tables.ensure_column(train, "post_type", "Text"))
     rows = featured.select("features", models.LABEL).persist()
     try:
+        rows = dealt(rows)
         model = (estimator or models.boosted()).fit(rows)
     finally:
         rows.unpersist()
