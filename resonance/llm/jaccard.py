@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,8 @@ FLUSH = 750_000
 RANGE_CELLS = 1_000_000
 #: Sets in a block of a large region.
 BLOCK = 256
+#: Bytes of sets that travel to their regions at once, and rounds in which they travel at most.
+ROUND_BYTES, ROUNDS = 32 << 20, 4
 #: Parts of a region below this size are compared directly; pivots of a larger one.
 SMALL, PIVOTS = 48, 6
 
@@ -285,8 +288,12 @@ class Region:
         return None
 
 
-def region_links(docs: DataFrame, reps: DataFrame, members: DataFrame, width: int, rule: Rule) -> DataFrame:
-    """``a, b``: a forest of the links of every region, between the representatives of classes."""
+def region_links(docs: DataFrame, reps: DataFrame, members: DataFrame, width: int, rule: Rule) -> list[DataFrame]:
+    """``a, b``: a forest of the links of every region, between the representatives of classes.
+
+    ``reps`` has ``s1, rep, n``. Sets travel to their regions in rounds, each a part of the regions and a table of links:
+    they take more disk than the texts, as a set goes to every region it is in, and a round's files go when it ends.
+    """
     kind = docs.schema["k"].dataType.simpleString()
     inside = members.select("pivot", "node").distinct()
     sizes = inside.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).withColumnRenamed("pivot", "p")
@@ -298,8 +305,9 @@ def region_links(docs: DataFrame, reps: DataFrame, members: DataFrame, width: in
         "node", F.struct("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("task")
     )
     of_node = tasks.groupBy("node").agg(F.collect_list("task").alias("tasks"))
-    wanted = of_node.join(reps, F.col("node") == F.col("s1")).select(F.col("rep"), "tasks")
-    texts = docs.join(wanted, F.col("k") == F.col("rep")).select("k", "t", "tasks")
+    wanted = written(of_node.join(reps, F.col("node") == F.col("s1")).select("rep", "n", "tasks"), "jaccard-tasks")
+    travels = wanted.agg(F.sum(F.col("n") * F.size("tasks")).alias("n")).first()["n"] or 0
+    rounds = max(1, min(ROUNDS, -(-6 * travels // ROUND_BYTES)))
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch, sets in of_texts(batches, width):
@@ -316,8 +324,15 @@ def region_links(docs: DataFrame, reps: DataFrame, members: DataFrame, width: in
         region.join(np.arange(len(keys)))
         return pd.DataFrame([(keys[i], keys[j]) for i, j in region.forest.links], columns=["a", "b"])
 
-    placed = texts.mapInPandas(spread, f"pivot long, i int, j int, k {kind}, s binary")
-    return placed.groupBy("pivot", "i", "j").applyInPandas(join, f"a {kind}, b {kind}").distinct()
+    links = []
+    for now in range(rounds):
+        mine = F.filter("tasks", lambda t: F.pmod(F.xxhash64(t["pivot"]), F.lit(rounds)) == now)
+        some = wanted.select("rep", mine.alias("tasks")).where(F.size("tasks") > 0)
+        texts = docs.join(some, F.col("k") == F.col("rep")).select("k", "t", "tasks")
+        placed = texts.mapInPandas(spread, f"pivot long, i int, j int, k {kind}, s binary")
+        found = placed.groupBy("pivot", "i", "j").applyInPandas(join, f"a {kind}, b {kind}").distinct()
+        links.append(written(found, "jaccard-links"))
+    return links
 
 
 def similar_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, key: str = "doc_id",
@@ -337,12 +352,12 @@ def similar_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
 def _similar_groups(docs: DataFrame, width: int, rule: Rule, key: str, text: str) -> DataFrame:
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     sets = written(set_rows(rows, width, rule), "jaccard-sets")
-    classes = sets.where("n > 0 and k is not null").groupBy("s1", "s2").agg(F.min("k").alias("rep"))
+    classes = sets.where("n > 0 and k is not null").groupBy("s1", "s2").agg(F.min("k").alias("rep"), F.min("n").alias("n"))
     total = sets.agg(F.sum("m")).first()[0] or 0
     usable = rows.where("k is not null and t <> ''")
     members = shared_cells(usable, width, rule, max(1, -(-total // RANGE_CELLS)))
-    links = region_links(usable, classes.select("s1", "rep").distinct(), members, width, rule)
-    groups = components(links)
+    links = region_links(usable, classes.select("s1", "rep", "n").distinct(), members, width, rule)
+    groups = components(reduce(DataFrame.unionByName, links))
     named = classes.join(groups, F.col("rep") == F.col("node"), "left").select(
         F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.coalesce("component", "rep").alias("component")
     )

@@ -71,6 +71,17 @@ def test_groups_equal_brute_force(spark, width, num, monkeypatch):
     assert 20 < len(set(want.values())) < 400
 
 
+def test_sets_travel_to_their_regions_in_rounds(spark, monkeypatch):
+    texts, kept = variants(300, 5), []
+    monkeypatch.setattr(jaccard, "ROUND_BYTES", 5000)
+    monkeypatch.setattr(jaccard, "written", lambda df, label, whole=jaccard.written: kept.append((label, whole(df, label))) or kept[-1][1])
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    want, _ = brute(texts, 3, 90, 100)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(frame, 3, 90).collect()} == want
+    rounds = [df.count() for label, df in kept if label == "jaccard-links"]
+    assert len(rounds) == jaccard.ROUNDS and sum(n > 0 for n in rounds) > 1
+
+
 def test_large_regions_are_cut_into_blocks(spark, monkeypatch):
     texts = variants(240, 11, (200, 210))
     texts = {i: " ".join(texts[0].split()[:150] + texts[i].split()[-50:]) for i in texts} | {1000 + i: t for i, t in texts.items()}
