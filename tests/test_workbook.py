@@ -79,3 +79,25 @@ def test_folder_with_bad_files(spark, tmp_path):
     assert [(r["post_url"], r["impressions"]) for r in posts.collect()] == [(url, 40)]
     errors = {r["file"][-6]: r["error"] for r in bad.collect()}
     assert set(errors) == {"2", "3", "4"} and "empty sheet" in errors["3"]
+
+
+@pytest.mark.parametrize("pattern, recursive", [("PostAnalytics_*.xlsx", False), ("*", False), ("*_{1,2}?.x[l-m]sx", False), ("*", True)])
+def test_files_are_listed_by_tasks_as_spark_lists_them(spark, tmp_path, pattern, recursive):
+    names = ["PostAnalytics_1.xlsx", "PostAnalytics_1b.xlsx", "PostAnalytics_2 c.xlsx", "a_2d.xlsx", "_hidden.xlsx", ".x.xlsx",
+             "notes/PostAnalytics_3.xlsx", "notes/more/PostAnalytics_4%20.xlsx", "_gone/PostAnalytics_5.xlsx", "a+b.c_1x.xmsx"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_bytes(workbook_bytes([(0, 0, n)]))
+    for folder in (str(tmp_path), f"file:{tmp_path}/", f"{tmp_path}/n*", str(tmp_path / names[0])):
+        there = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).load(folder)
+        want = sorted(r["path"] for r in there.select("path").collect())
+        listed = workbook.file_names(spark, folder, pattern, recursive)
+        assert sorted(r["path"] for r in listed.collect()) == want
+        read = workbook.read_sheet_cells(spark, folder, pattern, recursive=recursive)
+        assert sorted((r["file"], r["value"]) for r in read.collect()) == [(p, p.removeprefix(f"file:{tmp_path}/")) for p in want]
+        assert "FileScan" not in read._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_folder_that_is_not_there_is_an_error(spark, tmp_path):
+    with pytest.raises(Exception, match="(?i)path"):
+        workbook.read_sheet_cells(spark, str(tmp_path / "none")).collect()
