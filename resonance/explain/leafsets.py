@@ -7,6 +7,7 @@ each part is looked at once, however many vectors it takes part in.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from resonance.explain.trees import tree_nodes
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Words of masks worked on at once in a task.
-WORDS = 1 << 21
+#: Words of masks worked on at once in a task, vectors whose masks it keeps, and rows of a batch.
+WORDS, KNOWN, ROWS = 1 << 21, 1 << 13, 1 << 12
 
 
 def _bits(a: int, b: int, n: int) -> np.ndarray:
@@ -79,24 +80,74 @@ class LeafSets:
         return self.values[leaf].reshape(len(a), self.trees).sum(axis=1)
 
 
-def with_masks(df: DataFrame, keep: Sequence[str], sets, columns: range, features: str = "features") -> DataFrame:
-    """``keep`` and ``mask``, the leaves that the features numbered ``columns`` leave open; ``sets`` is broadcast."""
+class _Known:
+    """Masks of the vectors a task has met: few vectors are many rows' where a part of the features has few values."""
+
+    def __init__(self, found: LeafSets, columns: range):
+        self.found, self.columns, self.numbers = found, columns, {}
+        self.step = max(1, WORDS // max(len(found.full), len(columns), 1))
+
+    def of(self, x: np.ndarray) -> tuple[list[tuple[bytes, int, int]], list[bool]]:
+        """Mask and its two names for each row, and whether the task meets its vector for the first time."""
+        rows = [row.tobytes() for row in x]
+        if len(self.numbers) + len(x) > KNOWN:
+            self.numbers = {}
+        new: dict[bytes, int] = {}
+        for i, row in enumerate(rows):
+            if row not in self.numbers:
+                new.setdefault(row, i)
+        at, first = list(new.values()), [False] * len(rows)
+        for k in range(0, len(at), self.step):
+            for i, mask in zip(at[k: k + self.step], self.found.masks(x[at[k: k + self.step]], self.columns)):
+                data = mask.tobytes()
+                names = np.frombuffer(hashlib.blake2b(data, digest_size=16).digest(), np.int64).tolist()
+                self.numbers[rows[i]], first[i] = (data, *names), True
+        return [self.numbers[row] for row in rows], first
+
+
+def with_masks(df: DataFrame, keep: Sequence[str], sets, columns: range, features: str = "features",
+               named: bool = False) -> DataFrame:
+    """``keep`` and ``mask``, the leaves that the features numbered ``columns`` leave open; ``sets`` is broadcast.
+
+    ``named``: each mask has its names ``a`` and ``b``, 64-bit hashes, and is null itself but for the first rows that have it.
+    """
     part = F.slice(vector_to_array(features), columns.start + 1, len(columns))
     rows = df.select(*keep, part.alias("_x"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_x").schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = sets.value
-        step = max(1, WORDS // max(len(found.full), len(columns), 1))
+        known = _Known(sets.value, columns)
         for batch in batches:
-            for at in range(0, len(batch), step):
-                some = batch.slice(at, step)
+            for at in range(0, len(batch), ROWS):
+                some = batch.slice(at, ROWS)
                 x = some.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(len(some), len(columns))
-                masks = pa.array([m.tobytes() for m in found.masks(x, columns)], pa.binary())
+                found, first = known.of(x)
                 columns_ = [some.column(c) for c in keep]
-                yield pa.RecordBatch.from_arrays([*columns_, masks], names=[*keep, "mask"])
-
-    return rows.mapInArrow(run, f"{kept}, mask binary")
+                if not named:
+                    masks = pa.array([m for m, _, _ in found], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*columns_, masks], names=[*keep, "mask"])
+                    continue
+                masks = pa.array([m if new else None for (m, _, _), new in zip(found, first)], pa.binary())
+                names = [pa.array([f[k] for f in found], pa.int64()) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays([*columns_, *names, masks], names=[*keep, "a", "b", "mask"])
+
+    return rows.mapInArrow(run, f"{kept}, {'a long, b long, ' * named}mask binary")
+
+
+def scores_of_kinds(sets, kinds, mask: str, of: str) -> Column:
+    """Predictions, as an array, for a mask column with each of the masks numbered in the array ``of``; ``kinds``: broadcast masks."""
+    @F.pandas_udf("array<double>")
+    def scores(mask: pd.Series, of: pd.Series) -> pd.Series:
+        found, out = sets.value, []
+        step = max(1, WORDS // max(len(found.full), 1))
+        for m, numbers in zip(mask, of):
+            each, back = np.unique(np.asarray(numbers), return_inverse=True)
+            own = np.frombuffer(m, np.uint64)[None]
+            parts = [found.scores(kinds.value[each[at: at + step]], own) for at in range(0, len(each), step)]
+            out.append(np.concatenate(parts)[back])
+        return pd.Series(out, dtype=object)
+
+    return scores(F.col(mask), F.col(of))
 
 
 def joint_score(sets, a: str = "mask", b: str = "word_mask") -> Column:

@@ -147,6 +147,31 @@ def test_word_scores_equal_those_of_whole_rows(spark, kind, settings):
         assert word == r["post_text"] and abs(score - r["prediction"]) < 1e-9
 
 
+@pytest.mark.parametrize("kind_bytes, at_once", [(32 << 20, 1000), (32 << 20, 40), (0, 1000)])
+def test_a_post_is_one_row_where_words_are_of_few_kinds(spark, monkeypatch, kind_bytes, at_once):
+    rng = np.random.default_rng(6)
+    names = [f"word{i}" for i in range(50)]
+    rows = [(i if i < 28 else None, 1, 2, 1, 1, 0, " ".join(rng.choice(names, 7)), "Poll", float(rng.normal())) for i in range(30)]
+    rows.append((3, 1, 2, 1, 1, 0, "word1 word2 word1", "Poll", 0.1))  # another text of post 3
+    df = spark.createDataFrame(rows, "post_id long, impressions long, reactions long, comments long, reposts long, "
+                                     "saves long, post_text string, post_type string, engagement_rate double")
+    preprocessor, _ = bundle.fit_preprocessor(df)
+    fitted = bundle.fit_bundle(preprocessor, df, models.boosted(maxIter=3, maxDepth=4))
+    kept = []
+    monkeypatch.setattr(words, "KIND_BYTES", kind_bytes)
+    monkeypatch.setattr(words, "AT_ONCE", at_once)
+    monkeypatch.setattr(words, "written", lambda d, label, whole=words.written: kept.append((label, d)) or whole(d, label))
+    got = sorted((r["post_id"], r["pos"], r["word"], round(r["score"], 9)) for r in words.word_scores(df, fitted).collect())
+    text = {(i, t): [r for r in rows if r[0] == i and r[6] == t][0] for i, t in {(r[0], r[6]) for r in rows} if i is not None}
+    each = [(i, p, w, *r[1:6], w, *r[7:]) for (i, t), r in text.items() for p, w in enumerate(t.split())]
+    alone = spark.createDataFrame(each, "post_id long, pos int, word string, impressions long, reactions long, comments long, "
+                                        "reposts long, saves long, post_text string, post_type string, engagement_rate double")
+    want = sorted((r["post_id"], r["pos"], r["word"], round(r["prediction"], 9)) for r in bundle.score(alone, fitted).collect())
+    assert got == want and len(got) == 28 * 7 + 3
+    labels = [label for label, _ in kept]
+    assert ("pair-scores" in labels) == (not kind_bytes) and labels.count("word-scores-part") == (6 if at_once == 40 else 0)
+
+
 def test_keywords_equal_the_closed_form(spark):
     """Two words, by hand: tf-idf vectors of unit length, then the ridge equations."""
     texts = ["alpha", "alpha alpha beta", "beta", "beta gamma beta", "alpha gamma"] * 3
