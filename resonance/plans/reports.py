@@ -17,7 +17,7 @@ def exploratory_report(posts: DataFrame) -> dict[str, DataFrame]:
         "shape": describe.shape(posts),
         "summary": describe.describe_numeric(posts, SUMMARISED),
         "correlations": describe.correlation_long(posts),
-        "impressions_reactions": describe.scatter_points(posts, "impressions", "reactions"),
+        "impressions_reactions": posts.select("impressions", "reactions").dropna(),
     }
     for c in ("impressions", "engagement_rate"):
         report[f"{c}_histogram"] = describe.histogram(posts, c)
