@@ -42,7 +42,9 @@ RANGE_CELLS = 1_000_000
 #: Sets in a block of a large region.
 BLOCK = 256
 #: Bytes of sets that travel to their regions at once, and rounds in which they travel at most.
-ROUND_BYTES, ROUNDS = 32 << 20, 4
+ROUND_BYTES, ROUNDS = 64 << 20, 8
+#: Sets for each round up to which their tasks, or their keys, are sent to all texts.
+TASKS_SENT, KEYS_SENT = 100_000, 2_000_000
 #: Parts of a region below this size are compared directly; pivots of a larger one.
 SMALL, PIVOTS = 48, 6
 
@@ -306,8 +308,8 @@ def region_links(docs: DataFrame, reps: DataFrame, members: DataFrame, width: in
     )
     of_node = tasks.groupBy("node").agg(F.collect_list("task").alias("tasks"))
     wanted = written(of_node.join(reps, F.col("node") == F.col("s1")).select("rep", "n", "tasks"), "jaccard-tasks")
-    travels = wanted.agg(F.sum(F.col("n") * F.size("tasks")).alias("n")).first()["n"] or 0
-    rounds = max(1, min(ROUNDS, -(-6 * travels // ROUND_BYTES)))
+    travels, sets = wanted.agg(F.sum(F.col("n") * F.size("tasks")), F.count(F.lit(1))).first()
+    rounds = max(1, min(ROUNDS, -(-6 * (travels or 0) // ROUND_BYTES)))
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch, sets in of_texts(batches, width):
@@ -326,9 +328,15 @@ def region_links(docs: DataFrame, reps: DataFrame, members: DataFrame, width: in
 
     links = []
     for now in range(rounds):
+        known = docs
         mine = F.filter("tasks", lambda t: F.pmod(F.xxhash64(t["pivot"]), F.lit(rounds)) == now)
         some = wanted.select("rep", mine.alias("tasks")).where(F.size("tasks") > 0)
-        texts = docs.join(some, F.col("k") == F.col("rep")).select("k", "t", "tasks")
+        # Texts move only where the tasks of a round are too many to be sent to them, and then those that have some.
+        if sets <= rounds * TASKS_SENT:
+            some = F.broadcast(some)
+        elif sets <= rounds * KEYS_SENT:
+            known = docs.join(F.broadcast(some.select("rep")), F.col("k") == F.col("rep"), "left_semi")
+        texts = known.join(some, F.col("k") == F.col("rep")).select("k", "t", "tasks")
         placed = texts.mapInPandas(spread, f"pivot long, i int, j int, k {kind}, s binary")
         found = placed.groupBy("pivot", "i", "j").applyInPandas(join, f"a {kind}, b {kind}").distinct()
         links.append(written(found, "jaccard-links"))

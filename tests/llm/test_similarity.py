@@ -71,8 +71,11 @@ def test_groups_equal_brute_force(spark, width, num, monkeypatch):
     assert 20 < len(set(want.values())) < 400
 
 
-def test_sets_travel_to_their_regions_in_rounds(spark, monkeypatch):
+@pytest.mark.parametrize("tasks, keys", [(100_000, 2_000_000), (0, 2_000_000), (0, 0)])
+def test_sets_travel_to_their_regions_in_rounds(spark, monkeypatch, tasks, keys):
     texts, kept = variants(300, 5), []
+    monkeypatch.setattr(jaccard, "TASKS_SENT", tasks)
+    monkeypatch.setattr(jaccard, "KEYS_SENT", keys)
     monkeypatch.setattr(jaccard, "ROUND_BYTES", 5000)
     monkeypatch.setattr(jaccard, "written", lambda df, label, whole=jaccard.written: kept.append((label, whole(df, label))) or kept[-1][1])
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
